@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import chat, language_id, mixing, near_dedup, packing, topk, toxicity
 
 OPERATORS = {
     "op2_source_mixing": mixing,
+    "op3_ball_tree_top_k": topk,
+    "op5_minhash_near_dedup": near_dedup,
     "op7_best_fit_packing": packing,
+    "op8_language_id": language_id,
+    "op9_toxicity": toxicity,
+    "op10_perspective_rotation": chat,
 }
 
 
