@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, language_id, mixing, near_dedup, packing, topk, toxicity
+from . import chat, language_id, lm_scoring, mixing, near_dedup, packing, substring_dedup, topk, toxicity
 
 OPERATORS = {
+    "op1_deleted_interpolation": lm_scoring,
     "op2_source_mixing": mixing,
     "op3_ball_tree_top_k": topk,
     "op5_minhash_near_dedup": near_dedup,
+    "op6_substring_dedup": substring_dedup,
     "op7_best_fit_packing": packing,
     "op8_language_id": language_id,
     "op9_toxicity": toxicity,
