@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, language_id, lm_scoring, mixing, near_dedup, packing, substring_dedup, topk, toxicity
+from . import chat, flac, language_id, lm_scoring, mixing, near_dedup, packing, substring_dedup, topk, toxicity
 
 OPERATORS = {
     "op1_deleted_interpolation": lm_scoring,
     "op2_source_mixing": mixing,
     "op3_ball_tree_top_k": topk,
+    "op4_flac_media": flac,
     "op5_minhash_near_dedup": near_dedup,
     "op6_substring_dedup": substring_dedup,
     "op7_best_fit_packing": packing,
