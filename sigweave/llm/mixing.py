@@ -109,6 +109,7 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     seed = params.pop("seed")
     rows = materialise(keyed(docs, key, text, source, seed, [F.col(key), F.col(source)]))
     cut, sources = cuts(rows, key, **params)
+    cut = cut.drop("source_size", "target")
     whole = keyed(docs, key, text, source, seed, [F.col(c) for c in docs.columns]).join(F.broadcast(cut) if sources <= MAX_BROADCAST else cut, "__s").withColumn("__taken", taken(key))
     size = F.greatest(F.col("__size"), F.lit(1))
     copies = F.floor(F.col("__taken") / size).cast("int")

@@ -206,8 +206,8 @@ def later_starts(docs: DataFrame, text: str, window: int) -> DataFrame:
     return gone.groupBy(F.col("row").alias("__row")).agg(F.collect_list("starts").alias("__starts"))  # one entry per bucket at most
 
 
-def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all of docs without the text, if None), with n_words, n_removed and kept: the words that stay, joined by one space."""
+def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep: list[str] | None = None, as_is: bool = False) -> DataFrame:
+    """The columns `keep` (all of docs without the text, if None), with n_words, n_removed and kept: the words that stay, joined by one space (with as_is, the text as it is if it loses nothing)."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     rows = keyed(docs, key)
     starts = later_starts(rows, text, window)
@@ -219,6 +219,7 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             for batch in text_slices(whole, "__text"):
                 codes, bounds, words = split_words(batch.column("__text"), lower=False)
                 words = np.array(words.to_pylist(), object)
+                whole_texts = batch.column("__text")
                 texts, removed = [], []
                 for i, packed in enumerate(batch.column("__starts").to_pylist()):
                     own = codes[bounds[i] : bounds[i + 1]]
@@ -230,7 +231,7 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                             edge[s + window] -= 1
                         own = own[np.cumsum(edge)[:-1] == 0]
                     removed.append(int(bounds[i + 1] - bounds[i]) - len(own))
-                    texts.append(" ".join(words[own]))
+                    texts.append(" ".join(words[own]) if removed[-1] or not as_is else whole_texts[i].as_py())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=[f.name for f in schema])
 
     return joined.mapInArrow(drop, schema)
@@ -238,18 +239,11 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars", window: int = STAGE_WINDOW) -> DataFrame:
     """docs with later copies of passages taken out of their texts. Texts that lose nothing stay as they are; documents that lose everything go."""
-    same = docs.withColumn("__same", F.col(text))
-    out = strip(same, key, text, window).where("n_removed < n_words OR n_words = 0")
-    cut = F.col("n_removed") > 0
-    cols = []
-    for c in docs.columns:
-        if c == text:
-            cols.append(F.when(cut, F.col("kept")).otherwise(F.col("__same")).alias(c))
-        elif c == chars:
-            cols.append(F.when(cut, F.length("kept").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            cols.append(F.col(c))
-    return out.select(*cols)
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("__doc")
+    out = strip(docs.select(F.col(key).alias("__key"), F.col(text).alias("__whole"), rest), "__key", "__whole", window, ["__doc"], as_is=True)
+    out = out.where("n_removed < n_words OR n_words = 0")
+    size = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[chars].dataType)).otherwise(F.col(f"__doc.{chars}")) if chars in docs.columns else None
+    return out.select(*[F.col("kept").alias(c) if c == text else size.alias(c) if c == chars else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
