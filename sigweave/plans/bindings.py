@@ -1,9 +1,456 @@
-"""Queries over the benchmark tables, one per operator, with their DuckDB counterparts."""
+"""Queries over the benchmark tables, one per operator, with their DuckDB counterparts.
+
+Text: an artifact is a document source, a class a document, a unit a word. Sequences: an event log per user.
+Sets: the parts of a customer's orders. Hierarchies: region, nation, market segment.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sigweave.functions import hashing, normalise
+from sigweave.functions.formula import compile_formula
+from sigweave.operators import assignment, catalogue, detection, kgrams, rollup, selection, sequences, similarity, sketches, votes
+from sigweave.sources import signatures
+
+K = 5
+PRIME = sketches.PRIMES[2]
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def words(text: Column) -> Column:
+    return F.filter(F.split(text, "[ \n]+"), lambda w: w != "")
+
+
+# ---------------------------------------------------------------- inputs, and the same in SQL
+
+SQL_WORDS = "list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <> '')"
+SQL_HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split({0}, ''), lambda c: CASE WHEN c = '' THEN 0 ELSE unicode(c) END::BIGINT)), lambda a, b: (a * 31 + b) % 4294967296)"
+SQL_DOC_GRAMS = f"""w AS (SELECT doc_id, source, lang, {SQL_WORDS} AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, source, lang, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS gram FROM w)"""
+SQL_ITEM_GRAMS = f"""bw AS (SELECT item_id, {SQL_WORDS} AS ws FROM benchmark),
+b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS gram FROM bw)"""
+SQL_FOLD = "1"
+for _h in ("h", "h1", "h2", "h3", "h4"):
+    SQL_FOLD = f"(({SQL_FOLD} * 31 + {_h}) % 4294967296)"
+SQL_BITS = f"""u AS (SELECT DISTINCT unnest({SQL_WORDS}) AS word FROM documents),
+hw AS (SELECT word, {SQL_HASH.format("word")} AS h FROM u),
+p AS (SELECT doc_id, source, lang, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, source, lang, {SQL_WORDS} AS ws FROM documents)),
+s AS (SELECT doc_id, source, lang, i, h, lead(h, 1) OVER v AS h1, lead(h, 2) OVER v AS h2, lead(h, 3) OVER v AS h3, lead(h, 4) OVER v AS h4 FROM p JOIN hw USING (word) WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+h5 AS (SELECT source, lang, {SQL_FOLD} AS h FROM s WHERE h4 IS NOT NULL),
+bits AS (SELECT DISTINCT source, lang, (h % {PRIME})::INT AS bit FROM h5)"""
+
+
+def document_grams(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, source, lang, gram), distinct 5-word grams of whole documents."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", words(F.col("text")).alias("ws"))
+    grams = F.array_distinct(F.transform(kgrams.windows_of(F.col("ws"), K), lambda g: F.array_join(g, " ")))
+    return docs.select("doc_id", "source", "lang", F.explode(grams).alias("gram"))
+
+
+def item_grams(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "benchmark").select("item_id", words(F.col("text")).alias("ws"))
+    return items.select("item_id", F.explode(F.array_distinct(F.transform(kgrams.windows_of(F.col("ws"), K), lambda g: F.array_join(g, " ")))).alias("gram"))
+
+
+def document_bits(spark: SparkSession, sf: str) -> DataFrame:
+    """(source, lang, bit) of the documents' hashed 5-grams. Words are hashed once each in their document, runs by folding the hashes."""
+    docs = table(spark, sf, "documents").select("source", "lang", F.transform(words(F.col("text")), hashing.text_hash).alias("hs"))
+    grams = F.transform(kgrams.windows_of(F.col("hs"), K), lambda g: sketches.bit(hashing.sequence_hash(g), PRIME))
+    return docs.select("source", "lang", F.explode(F.array_distinct(grams)).alias("bit")).distinct()
+
+
+# ---------------------------------------------------------------- k-grams
+
+
+@query(f"WITH {SQL_DOC_GRAMS} SELECT doc_id, gram FROM g")
+def kgram_linear_text(spark, sf):
+    return document_grams(spark, sf).select("doc_id", "gram")
+
+
+@query("""WITH s AS (SELECT user_id, event_type AS a, lead(event_type, 1) OVER w AS b, lead(event_type, 2) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, a || ' ' || b || ' ' || c AS gram, count(*) AS n FROM s WHERE c IS NOT NULL GROUP BY ALL""")
+def kgram_linear_events(spark, sf):
+    grams = kgrams.ordered_kgrams(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type", 3)
+    return grams.groupBy("user_id", F.array_join("kgram", " ").alias("gram")).agg(F.count("*").alias("n"))
+
+
+def transitions(spark, sf) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, sf, "events")
+    nodes = events.select(F.col("user_id").alias("entity"), F.col("event_type").alias("node")).distinct().withColumn("unit", F.col("node"))
+    pairs = kgrams.ordered_kgrams(events, "user_id", ["ts", "event_id"], "event_type", 2)
+    return nodes, pairs.select(F.col("user_id").alias("entity"), F.element_at("kgram", 1).alias("node"), F.element_at("kgram", 2).alias("next")).distinct()
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events QUALIFY b IS NOT NULL)
+SELECT x.user_id, x.a || ' ' || x.b || ' ' || y.b AS gram, count(*) AS n FROM e x JOIN e y ON x.user_id = y.user_id AND x.b = y.a GROUP BY ALL""")
+def kgram_cfg(spark, sf):
+    nodes, following = transitions(spark, sf)
+    return kgrams.graph_kgrams(nodes, following, 3).select(F.col("entity").alias("user_id"), F.array_join("kgram", " ").alias("gram"), "n")
+
+
+FIXTURE_BLOCKS = [("A B", (1, 4, 5)), ("C D", (2, 3)), ("E F G", (3,)), ("H", (6,)), ("C", (4, 5)), ("D E", (6,)), ("R", ())]
+
+
+@query("SELECT gram, count(*) AS n FROM (SELECT unnest(string_split('ABCDE ABCDH ABCCC ABCCD ABCDE ABDER BCDEF BCDHR BCCCC BCCCD BCCDE BCDER CDEFG DEFGH EFGHR CCCCC CCCCD CCCDE CCDER', ' ')) AS gram) GROUP BY gram")
+def kgram_fixture(spark, sf):
+    blocks = spark.createDataFrame([(0, i, u.split()) for i, (u, _) in enumerate(FIXTURE_BLOCKS)], "entity int, block int, units array<string>")
+    edges = spark.createDataFrame([(0, i, d) for i, (_, s) in enumerate(FIXTURE_BLOCKS) for d in s], "entity int, src int, dst int")
+    return kgrams.graph_kgrams(*kgrams.unit_successors(blocks, edges), K).select(F.array_join("kgram", "").alias("gram"), "n")
+
+
+@query("""WITH s AS (SELECT user_id, event_type AS a, lead(event_type, 1) OVER w AS b, lead(event_type, 2) OVER w AS c,
+(value < 50)::INT AS x, lead((value < 50)::INT, 1) OVER w AS y, lead((value < 50)::INT, 2) OVER w AS z FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, a || ' ' || b || ' ' || c AS gram FROM s WHERE c IS NOT NULL AND 'error' IN (a, b, c) GROUP BY ALL HAVING count(DISTINCT coalesce(x::VARCHAR, '') || ',' || coalesce(y::VARCHAR, '') || ',' || coalesce(z::VARCHAR, '')) = 1""")
+def kgram_unique_condition(spark, sf):
+    unit = F.struct(F.col("event_type").alias("instr"), F.coalesce((F.col("value") < 50).cast("int").cast("string"), F.lit("")).alias("ref"))
+    grams = kgrams.ordered_kgrams(table(spark, sf, "events").withColumn("unit", unit), "user_id", ["ts", "event_id"], "unit", 3)
+    grams = grams.select("user_id", F.col("kgram.instr").alias("instr"), F.array_join("kgram.ref", ",").alias("refs"))
+    return kgrams.unique_kgrams(grams, "user_id", "instr", "refs", lambda u: u == "error").select("user_id", F.array_join("instr", " ").alias("gram"))
+
+
+@query("SELECT p_partkey, " + SQL_HASH.format("p_name") + " AS h FROM part")
+def java_hash_units(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", hashing.text_hash(F.col("p_name")).alias("h"))
+
+
+@query("WITH u AS (SELECT p_partkey, list_transform(string_split(p_type, ' '), lambda s: " + SQL_HASH.format("s") + ") AS hs FROM part) SELECT p_partkey, list_reduce(list_prepend(1::BIGINT, hs), lambda a, b: (a * 31 + b) % 4294967296) AS h FROM u")
+def kgram_hash(spark, sf):
+    units = F.transform(F.split("p_type", " "), hashing.text_hash)
+    return table(spark, sf, "part").select("p_partkey", hashing.sequence_hash(units).alias("h"))
+
+
+# ---------------------------------------------------------------- sketches
+
+
+@query(f"WITH {SQL_BITS} SELECT DISTINCT source, bit FROM bits")
+def bit_bucket(spark, sf):
+    return document_bits(spark, sf).select("source", "bit").distinct()
+
+
+@query(f"WITH {SQL_BITS} SELECT source, count(DISTINCT bit) AS bits_set, round(count(DISTINCT bit) / {PRIME}.0::DOUBLE, 6) AS share FROM bits GROUP BY source")
+def bit_popcount(spark, sf):
+    return sketches.population(document_bits(spark, sf), "source", PRIME).withColumn("share", F.round("share", 6))
+
+
+@query(f"""WITH {SQL_ITEM_GRAMS}, n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id)
+SELECT item_id, n, CASE WHEN n <= 13 THEN 0 WHEN n <= 37 THEN 1 WHEN n <= 105 THEN 2 WHEN n <= 299 THEN 3 ELSE 4 END AS prime_idx FROM n""")
+def prime_index(spark, sf):
+    n = item_grams(spark, sf).groupBy("item_id").agg(F.count("*").alias("n"))
+    return n.withColumn("prime_idx", sketches.prime_index(F.col("n")))
+
+
+@query(f"""WITH {SQL_BITS}, v AS (SELECT source, count(DISTINCT lang) AS k FROM bits GROUP BY source)
+SELECT source, bit FROM bits JOIN v USING (source) GROUP BY source, bit, k HAVING count(DISTINCT lang) = k""")
+def stats_bit_and(spark, sf):
+    return sketches.common_bits(document_bits(spark, sf), "source", "lang")
+
+
+@query(f"""WITH {SQL_BITS}, f AS (SELECT bit, count(DISTINCT source) AS f FROM bits GROUP BY bit), e AS (SELECT unnest(range(1, f + 1)) AS freq FROM f), a AS (SELECT freq, count(*) AS bits FROM e GROUP BY freq)
+SELECT freq, bits, round(bits / sum(bits) OVER ()::DOUBLE, 6) AS share, round(sum(bits) OVER (ORDER BY freq DESC ROWS UNBOUNDED PRECEDING) / sum(bits) OVER ()::DOUBLE, 6) AS running_share FROM a""")
+def stats_bit_frequency(spark, sf):
+    return sketches.bit_frequency(document_bits(spark, sf), "source")
+
+
+SQL_CONTAINED = f"""{SQL_DOC_GRAMS}, {SQL_ITEM_GRAMS}, n AS (SELECT item_id, count(*) AS size FROM b GROUP BY item_id), sg AS (SELECT DISTINCT source, gram FROM g),
+c AS (SELECT item_id, source, count(*) AS shared FROM b JOIN sg USING (gram) GROUP BY ALL), r AS (SELECT item_id, source, shared, size, shared / size::DOUBLE AS score FROM c JOIN n USING (item_id))"""
+
+
+def contained(spark, sf) -> DataFrame:
+    left = item_grams(spark, sf).withColumnRenamed("gram", "h")
+    return sketches.containment(left, document_grams(spark, sf).select("source", F.col("gram").alias("h")), "item_id", "source")
+
+
+@query(f"WITH {SQL_CONTAINED} SELECT item_id, source, shared, size, round(score, 6) AS score FROM r")
+def containment(spark, sf):
+    return contained(spark, sf).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {SQL_CONTAINED} SELECT item_id, source, round(score, 6) AS score FROM r WHERE score >= greatest(0.1 + 0.01, 0.9 - 0.2 * log10(greatest(1, size)))")
+def sketch_filter(spark, sf):
+    return selection.sketch_filter(contained(spark, sf), F.lit(0.01)).select("item_id", "source", F.round("score", 6).alias("score"))
+
+
+@query("SELECT c_mktsegment, count(*) AS size, round(greatest(0.1, 0.7 - 0.15 * log10(greatest(1, count(*)))), 6) AS threshold FROM customer GROUP BY c_mktsegment")
+def detection_threshold(spark, sf):
+    sizes = table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("size"))
+    return sizes.withColumn("threshold", F.round(selection.detection_threshold(F.col("size")), 6))
+
+
+@query("SELECT p_partkey, round(least(p_size / 50.0::DOUBLE, sqrt(p_retailprice) / 100) + power(greatest(1.0, log10(p_retailprice)), 2), 6) AS v FROM part")
+def user_formula(spark, sf):
+    v = compile_formula("min(size / 50, sqrt(price) / 100) + max(1, log10(price)) ^ 2", {"size": F.col("p_size"), "price": F.col("p_retailprice")})
+    return table(spark, sf, "part").select("p_partkey", F.round(v, 6).alias("v"))
+
+
+@query(f"""WITH {SQL_CONTAINED}, d AS (SELECT DISTINCT source, score FROM r), k AS (SELECT source, score, row_number() OVER (PARTITION BY source ORDER BY score DESC) AS i FROM d),
+t AS (SELECT source, least(max(score) - 0.03, coalesce(max(score) FILTER (WHERE i = 2), 0)) AS lo FROM k GROUP BY source)
+SELECT source, item_id, round(score, 6) AS score FROM r JOIN t USING (source) WHERE score > lo""")
+def scan_window(spark, sf):
+    return selection.scan_window(contained(spark, sf), within=["source"]).select("source", "item_id", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- similarity joins
+
+
+@query("""WITH s AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT c, count(*) AS n FROM s GROUP BY c),
+x AS (SELECT a.c AS a, b.c AS b, count(*) AS shared FROM s a JOIN s b ON a.p = b.p AND a.c < b.c GROUP BY ALL)
+SELECT a, b, shared, round(2 * shared / (m.n + k.n)::DOUBLE, 6) AS dice FROM x JOIN n m ON m.c = a JOIN n k ON k.c = b WHERE 2 * shared / (m.n + k.n)::DOUBLE > 0.08""")
+def dice_customers(spark, sf):
+    lines, orders = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    sets = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(F.col("o_custkey").alias("c"), F.col("l_partkey").alias("h"))
+    return similarity.dice_self_join(sets, "c", least=0.08).withColumn("dice", F.round("dice", 6))
+
+
+@query(f"""WITH {SQL_DOC_GRAMS}, n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a, b, shared, round(2 * shared / (m.n + k.n)::DOUBLE, 6) AS dice FROM x JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b WHERE 2 * shared / (m.n + k.n)::DOUBLE > 0.1""")
+def dice_documents(spark, sf):
+    rows = document_grams(spark, sf).select("doc_id", F.xxhash64("gram").alias("h"))
+    return similarity.dice_self_join(rows, "doc_id", least=0.1).withColumn("dice", F.round("dice", 6))
+
+
+@query(f"""WITH {SQL_DOC_GRAMS}, m AS (SELECT doc_id, source, lang, len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS methods, n_chars AS weight FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), x AS (SELECT a.doc_id AS l, b.doc_id AS a, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.source = 'src0' AND b.source <> 'src0' GROUP BY ALL)
+SELECT l, a, round(shared / n::DOUBLE, 6) AS score FROM x JOIN n ON n.doc_id = l JOIN m lm ON lm.doc_id = l JOIN m am ON am.doc_id = a
+WHERE shared / n::DOUBLE > 0.1 AND lm.methods > 0 AND am.methods > 0 AND lm.weight > 0 AND am.weight > 0 AND am.methods <= lm.methods AND (lm.lang IS NULL OR lm.lang = am.lang)""")
+def class_candidates(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("methods"), "n_chars")
+    grams = document_grams(spark, sf).select("doc_id", "source", F.xxhash64("gram").alias("h"))
+    side = lambda p, c: docs.where(c).select(F.col("doc_id").alias(p), F.col("lang").alias(f"{p}_super"), F.col("methods").alias(f"{p}_methods"), F.col("n_chars").alias(f"{p}_weight"))
+    library, app = F.col("source") == "src0", F.col("source") != "src0"
+    sets = similarity.candidates(side("l", library), side("a", app), grams.where(library).select(F.col("doc_id").alias("l"), "h"), grams.where(app).select(F.col("doc_id").alias("a"), "h"))
+    return sets.withColumn("score", F.round("score", 6))
+
+
+# ---------------------------------------------------------------- votes
+
+SQL_VOTES = """v AS (SELECT c_mktsegment AS k, o_orderpriority AS v, sum(o_totalprice / 1000) AS s, sum(o_totalprice) AS w FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+n AS (SELECT k, v, s / sum(w) OVER (PARTITION BY k) AS vote FROM v)"""
+
+
+def segment_votes(spark, sf) -> DataFrame:
+    orders, customers = table(spark, sf, "orders").select("o_custkey", "o_orderpriority", "o_totalprice"), table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    rows = orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
+    cast = rows.select(F.col("c_mktsegment").alias("k"), F.col("o_orderpriority").alias("v"), (F.col("o_totalprice") / 1000).alias("score"), F.col("o_totalprice").alias("weight"))
+    return votes.normalised(cast)
+
+
+@query(f"WITH {SQL_VOTES} SELECT k, v, round(vote, 9) AS vote FROM n")
+def votes_normalised(spark, sf):
+    return segment_votes(spark, sf).withColumn("vote", F.round("vote", 9))
+
+
+@query(f"WITH {SQL_VOTES} SELECT k, v, round(vote, 9) AS vote FROM n QUALIFY row_number() OVER (PARTITION BY k ORDER BY vote DESC, v) = 1")
+def votes_best(spark, sf):
+    return votes.best(segment_votes(spark, sf)).withColumn("vote", F.round("vote", 9))
+
+
+@query("""WITH r AS (SELECT n_regionkey AS l, n_nationkey AS item FROM nation), c AS (SELECT l, count(*) AS n FROM r GROUP BY l)
+SELECT x.item AS k, y.item AS v, round(0.5 * 10 / (cx.n * cy.n), 6) AS score, 10 AS weight FROM r x JOIN r y ON y.l = (x.l + 1) % 5 JOIN c cx ON cx.l = x.l JOIN c cy ON cy.l = y.l""")
+def interface_votes(spark, sf):
+    nation = table(spark, sf, "nation")
+    left = nation.select(F.col("n_regionkey").alias("l"), F.col("n_nationkey").alias("item"))
+    pairs = left.select("l").distinct().select("l", ((F.col("l") + 1) % 5).alias("a"), F.lit(0.5).alias("sim"), F.lit(10).alias("w"))
+    return votes.set_votes(pairs, left, left.withColumnRenamed("l", "a")).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {SQL_VOTES} SELECT k, v, round(0.01 * (length(v) / 100.0)::DOUBLE + 0.99 * vote, 9) AS blended FROM n")
+def call_blend(spark, sf):
+    return segment_votes(spark, sf).select("k", "v", F.round(votes.blended(F.length("v") / 100, F.col("vote")), 9).alias("blended"))
+
+
+@query(f"""WITH {SQL_VOTES}, m AS (SELECT k, v, vote, length(v) AS lm, length(k) AS am, CASE WHEN length(v) = 5 THEN 1.0 ELSE 0.5 END AS init FROM n)
+SELECT k, v, round(CASE WHEN init = 1 THEN greatest(CASE WHEN am > lm THEN 0 ELSE vote END, 1e-6) ELSE CASE WHEN am > lm THEN 0 ELSE vote END END, 9) AS sim FROM m""")
+def next_matrix(spark, sf):
+    init = F.when(F.length("v") == 5, 1.0).otherwise(0.5)
+    return segment_votes(spark, sf).select("k", "v", F.round(votes.next_similarity(F.col("vote"), init, F.length("v"), F.length("k")), 9).alias("sim"))
+
+
+# ---------------------------------------------------------------- hierarchies
+
+SQL_TREE = """c AS (SELECT r_name || '.' || n_name || '.' || c_mktsegment || '.' || c_name AS name, count(*) AS w FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
+e AS (SELECT unnest(range(0, len(string_split(name, '.')))) AS depth, string_split(name, '.') AS parts, w FROM c), t AS (SELECT array_to_string(parts[1:depth], '.') AS prefix, depth, sum(w)::BIGINT AS weight FROM e GROUP BY ALL)"""
+
+
+def tree(spark, sf) -> DataFrame:
+    customer, nation, region = (table(spark, sf, t) for t in ("customer", "nation", "region"))
+    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rollup.rollup(rows.select(F.concat_ws(".", "r_name", "n_name", "c_mktsegment", "c_name").alias("name"), F.lit(1).cast("long").alias("w")), "name", "w")
+
+
+@query(f"WITH {SQL_TREE} SELECT prefix, depth, weight FROM t")
+def pkg_rollup(spark, sf):
+    return tree(spark, sf)
+
+
+SQL_SHARES = f"""{SQL_TREE}, b AS (SELECT CASE WHEN depth = 1 THEN '' ELSE array_to_string(string_split(prefix, '.')[1:depth - 1], '.') END AS prefix, sum(weight) AS below, count(*) AS children FROM t WHERE depth > 0 GROUP BY 1),
+o AS (SELECT t.prefix, depth, weight, (weight - coalesce(below, 0))::BIGINT AS own, coalesce(children, 0) AS children, max(weight) OVER () AS total FROM t LEFT JOIN b USING (prefix))"""
+
+
+@query(f"WITH {SQL_SHARES} SELECT prefix, depth, weight, own, children, round(own / total::DOUBLE, 6) AS own_share, round(weight / total::DOUBLE, 6) AS total_share FROM o")
+def pkg_own_share(spark, sf):
+    shares = rollup.own_share(tree(spark, sf))
+    return shares.withColumns({c: F.round(c, 6) for c in ("own_share", "total_share")})
+
+
+@query(f"WITH {SQL_SHARES} SELECT prefix, weight FROM o WHERE depth = 0 OR own <> 0 OR children <> 1")
+def pkg_collapsed(spark, sf):
+    return rollup.collapsed(rollup.own_share(tree(spark, sf))).select("prefix", "weight")
+
+
+@query(f"""WITH {SQL_SHARES} SELECT prefix, repeat('  ', depth) || CASE WHEN prefix = '' THEN '<default package>' ELSE prefix END || printf(' %.5f%%', own * 100 / total::DOUBLE) || CASE WHEN children > 0 THEN printf(' (%.5f%%)', weight * 100 / total::DOUBLE) ELSE '' END AS line FROM o""")
+def pkg_report(spark, sf):
+    return rollup.rendered(rollup.own_share(tree(spark, sf)))
+
+
+# ---------------------------------------------------------------- catalogues, selection
+
+
+@query("""WITH x AS (SELECT DISTINCT lang, upper(sha256(text)) AS digest, doc_id::VARCHAR AS v FROM documents)
+SELECT lang, digest, string_agg(v, ', ' ORDER BY v) AS label, min(v) AS representative, count(*) AS n FROM x GROUP BY ALL""")
+def dedup_index(spark, sf):
+    docs = table(spark, sf, "documents").select("lang", "doc_id", hashing.content_hash(F.col("text")).alias("digest"))
+    return catalogue.content_index(docs, "lang", "doc_id", "digest").select("lang", "digest", "label", "representative", F.size("versions").cast("long").alias("n"))
+
+
+@query("SELECT min(doc_id::VARCHAR) AS doc FROM documents GROUP BY lang, sha256(text)")
+def dedup_representative(spark, sf):
+    docs = table(spark, sf, "documents").select("lang", F.col("doc_id").cast("string").alias("doc"), hashing.content_hash(F.col("text")).alias("digest"))
+    return catalogue.representatives(docs, "lang", "doc", "digest").select("doc")
+
+
+def resolved(spark, sf) -> tuple[DataFrame, DataFrame]:
+    results = table(spark, sf, "orders").select(F.col("o_orderkey").alias("result"), F.col("o_totalprice").alias("match"), F.col("o_custkey").alias("c"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("result"), F.col("l_suppkey").alias("member")).distinct()
+    members = lines.join(results.select("result", "c"), "result")
+    return members, selection.resolve(results, members, order=[F.desc("match"), F.asc("result")], within=["c"])
+
+
+SQL_RESOLVED = """r AS (SELECT o_custkey AS c, o_orderkey AS result, o_totalprice AS match FROM orders), m AS (SELECT DISTINCT l_orderkey AS result, l_suppkey AS member FROM lineitem),
+k AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY match DESC, result) AS rank FROM r), h AS (SELECT c, result, rank, member FROM k JOIN m USING (result)),
+f AS (SELECT c, member, min(rank) AS first FROM h GROUP BY ALL), lost AS (SELECT DISTINCT result FROM h JOIN f ON h.c = f.c AND h.member = f.member WHERE rank > first)"""
+
+
+@query(f"WITH {SQL_RESOLVED} SELECT k.result, lost.result IS NULL AS accepted FROM k LEFT JOIN lost USING (result)")
+def conflict_resolution(spark, sf):
+    return resolved(spark, sf)[1].select("result", "accepted")
+
+
+@query(f"WITH {SQL_RESOLVED} SELECT DISTINCT c, member FROM h EXCEPT SELECT c, member FROM h WHERE result NOT IN (SELECT result FROM lost)")
+def remaining_classes(spark, sf):
+    members, results = resolved(spark, sf)
+    held = members.drop("c").join(results.select("result", "c", "accepted"), "result")
+    return catalogue.remaining(held.select("c", "member").distinct(), held.where("accepted").select("c", "member").distinct(), ["c", "member"])
+
+
+@query("""WITH m AS (SELECT l_partkey AS key, max_by(l_suppkey, (l_quantity, l_orderkey, l_linenumber)) % 50 AS s FROM lineitem GROUP BY l_partkey),
+x AS (SELECT key, CASE WHEN s < 40 THEN CASE WHEN s < 10 THEN key ELSE s END END AS found FROM m), j AS (SELECT x.*, p_partkey IS NOT NULL AS has FROM x LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 40) ON p_partkey = key)
+SELECT count(*) FILTER (has AND found = key) AS correct, count(*) FILTER (has AND found <> key) AS wrong_assignment, count(*) FILTER (NOT has AND found IS NOT NULL) AS wrong_detection, count(*) FILTER (has AND found IS NULL) AS unmatched FROM j""")
+def error_counters(spark, sf):
+    m = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg((F.max_by("l_suppkey", F.struct("l_quantity", "l_orderkey", "l_linenumber")) % 50).alias("s"))
+    found = m.select("key", F.when(F.col("s") < 40, F.when(F.col("s") < 10, F.col("key")).otherwise(F.col("s"))).alias("found"))
+    return selection.error_counts(found, table(spark, sf, "part").where("p_size <= 40").select(F.col("p_partkey").alias("key")), "key", "found")
+
+
+# ---------------------------------------------------------------- projections
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._+]+@[A-Za-z0-9.]+', '#', 'g'), '[0-9]+', '#', 'g') AS masked FROM documents")
+def mask_identifiers(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", normalise.mask_identifiers(F.col("text")).alias("masked"))
+
+
+@query("""SELECT p_partkey, '<' || CASE WHEN p_size > 25 THEN p_brand ELSE '#' END || ': ' || string_split(p_type, ' ')[1] || ' ' || CASE WHEN p_size > 25 THEN p_name ELSE '#' END || '(' || array_to_string(string_split(p_type, ' ')[2:], ',') || ')>' AS signature,
+p_name || '(' || array_to_string(string_split(p_type, ' '), ', ') || ')' AS full_name FROM part""")
+def method_signatures(spark, sf):
+    platform, parts = F.col("p_size") > 25, F.split("p_type", " ")
+    owner = normalise.type_name(F.col("p_brand"), platform)
+    signature = normalise.method_signature(owner, F.get(parts, F.lit(0)), F.col("p_name"), F.slice(parts, F.lit(2), F.size(parts)), platform)
+    return table(spark, sf, "part").select("p_partkey", signature.alias("signature"), normalise.full_name(F.col("p_name"), parts).alias("full_name"))
+
+
+@query("SELECT c_mktsegment, printf('%.5f%%', count(*) * 100 / (SELECT count(*) FROM customer)::DOUBLE) AS share FROM customer GROUP BY c_mktsegment")
+def percent_format(spark, sf):
+    n = table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    return n.select("c_mktsegment", normalise.percent(F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
+
+
+# ---------------------------------------------------------------- no SQL counterpart
+
+
+@query()
+def lcs_length(spark, sf):
+    """Longest common subsequences of the first events of neighbouring users."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    first = table(spark, sf, "events").withColumn("i", F.row_number().over(w)).where("i <= 30").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("i", "event_type"))).alias("s"))
+    seqs = first.select("user_id", F.col("s.event_type").alias("s"))
+    pairs = seqs.join(seqs.select((F.col("user_id") - 1).alias("user_id"), F.col("s").alias("t")), "user_id")
+    return pairs.select("user_id", sequences.lcs_length(F.col("s"), F.col("t")).alias("lcs"), F.round(sequences.lcs_similarity(F.col("s"), F.col("t")), 6).alias("similarity"))
+
+
+@query()
+def assignment_max_weight(spark, sf):
+    """Nations to market segments within each region, by their customers' part of the segment."""
+    customer, nation = table(spark, sf, "customer"), table(spark, sf, "nation")
+    n = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_name", "c_mktsegment").agg(F.count("*").alias("n"))
+    edges = n.withColumn("sim", F.col("n") / F.max("n").over(Window.partitionBy("n_regionkey")))
+    return assignment.assign(edges, "n_regionkey", "n_name", "c_mktsegment").withColumn("sim", F.round("sim", 6))
+
+
+def text_records(docs: DataFrame, artifact: str, cls: str) -> DataFrame:
+    """Text as class records: a line is a class with one method of one block, a word a unit."""
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            rows = []
+            for a, c, text in zip(pdf["artifact"], pdf["cls"], pdf["text"], strict=True):
+                for i, line in enumerate(text.split("\n")):
+                    if line.split():
+                        method = {"name": "line", "idx": 0, "blocks": [[signatures.unit(w) for w in line.split()]], "blockSuccs": {}}
+                        rows.append((str(a), f"{c}:{i}", json.dumps({"name": f"{c}:{i}", "methods": [method], "interfaces": []})))
+            yield pd.DataFrame(rows, columns=["artifact", "cls", "record"])
+
+    return docs.select(F.col(artifact).alias("artifact"), F.col(cls).alias("cls"), "text").where("text IS NOT NULL").mapInPandas(run, "artifact string, cls string, record string")
+
+
+@query()
+def detect_library(spark, sf):
+    """Benchmark items found in the document sources."""
+    library = text_records(table(spark, sf, "benchmark"), "item_id", "item_id")
+    lines = table(spark, sf, "documents").select("source", "doc_id", "text")
+    return detection.detect(library, text_records(lines, "source", "doc_id"), keep=lambda df: df.persist()).select("app", "library", F.round("match", 6).alias("match"), F.round("cover", 6).alias("cover"), "accepted", "round")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query()
+def signature_units(spark, sf):
+    """Stored records opened to instructions."""
+    return signatures.units(text_records(table(spark, sf, "benchmark"), "item_id", "item_id"))
