@@ -4,16 +4,15 @@ Texts with the same word sequence are one class (a 128-bit hash of their words).
 shingle set; bands of them find candidates, and an odd sketch (the values folded into a parity bitmap) bounds their
 difference: as each differing value flips two bits at most, a pair whose bitmaps differ in more than 2 * MAX_DIFFER
 bits is no link but with the chance that a link's values differ in more than MAX_DIFFER of VALUES places (under
-1e-9). What passes is confirmed on full shingle sets.
+1e-6 at similarity 0.8, less above). What passes is confirmed on full shingle sets.
 
-No group's pairs are all made. First each class is compared with the one centre that it shares most bands with; links
-join classes to components. Only buckets that still hold several components are looked at again, in tiles of
-TILE classes, and only for pairs across components: first the 4 nearest for each pair of components, then, for
-components that are still apart, all. So every pair that shares a band and isn't already connected is decided. A link
-at similarity 0.8 shares no band with a chance of 5e-8 (BANDS of ROWS values); links above, less.
+No group's pairs are ever listed. Classes of a band's bucket meet in tiles of TILE; a tile compares sketches and returns
+stars: an edge from the smallest class to each other one that passing pairs join with it. The stars' components hold all
+candidates together; each is confirmed by tiles of SETS classes with their full sets, which count all
+intersections of two tiles at once and return stars of what the links join. A group of n classes thus sends each class n / TILE times and gives a row per class and tile,
+however similar they are. A link at similarity 0.8 shares no band with a chance of 5e-8; links above, less.
 
-Full sets are made again from the texts for classes in candidate pairs only; a centre with many members is sent to
-several tasks with a part of the members each.
+Full sets are made again from the texts, for classes with candidates only.
 
 Defined results: text that is null or without words has no shingles, is linked with nothing and is its own component;
 rows without an id count as one id that is larger than all others and is null in results; repeated rows get a row
@@ -36,9 +35,9 @@ SIMILAR = (80, 100)  # 100 * intersection >= 80 * union
 BANDS, ROWS = 32, 4
 VALUES = BANDS * ROWS
 SKETCH_BITS = 1024
-MAX_DIFFER = 56  # of 128 values; a link's differ in 26 on average
+MAX_DIFFER = 48  # of 128 values; a link's differ in 26 on average
 TILE = 512
-SPLIT = 256  # members sent to one task with their centre
+SETS = 512
 NO_ID = 2**63 - 1
 
 _rng = np.random.default_rng(20240229)
@@ -124,120 +123,199 @@ def features(docs: DataFrame, text: str, n: int) -> DataFrame:
     return docs.select("__id", text).mapInArrow(run, "id long, cls binary, n_shingles long, bands array<long>, sketch binary")
 
 
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs (a, b) whose sketches differ by no more than links' do, with both ids."""
-    side = lambda x: classes.select(F.col("cls").alias(x), F.col("id").alias(f"{x}_id"), F.col("sketch").alias(f"{x}_sketch"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def _groups(batches, keys: int):
+    """Tables of whole groups (rows with equal first `keys` columns, which stand together) with the groups' first rows and ends."""
+    held: list[pa.RecordBatch] = []
 
-    def compare(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("a_sketch", "b_sketch"))
-            good = pa.array(np.bitwise_count(x ^ y).sum(1) <= 2 * MAX_DIFFER)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b", "a_id", "b_id")], names=["a", "b", "a_id", "b_id"])
+    def close(rows: pa.Table):
+        key = [np.asarray(rows.column(c)) if not pa.types.is_binary(rows.schema.field(c).type) else None for c in range(keys)]
+        new = np.zeros(rows.num_rows, bool)
+        for c, k in enumerate(key):
+            k = k if k is not None else np.asarray(rows.column(c).combine_chunks().dictionary_encode().indices)
+            new[1:] |= k[1:] != k[:-1]
+        return np.concatenate([[0], np.flatnonzero(new), [rows.num_rows]])
 
-    return both.mapInArrow(compare, "a binary, b binary, a_id long, b_id long")
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        edges = close(rows)
+        if len(edges) > 2:
+            yield rows.slice(0, int(edges[-2])), edges[:-1]
+            held = rows.slice(int(edges[-2])).to_batches()
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield rows, close(rows)
+
+
+def _stars(i: np.ndarray, j: np.ndarray, names: list[bytes]) -> tuple[list[int], list[int]]:
+    """For each component of the edges (i, j): an edge from its member of the smallest name to each other one."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := up.get(x, x)) != x:
+            up[x] = x = up.get(p, p)
+        return x
+
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            low, high = (x, y) if names[x] < names[y] else (y, x)
+            up[high] = low
+    members = [x for x in up if root(x) != x]
+    return [root(x) for x in members], members
+
+
+def _tiled(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """rows with (low, high, first): each goes to all pairs of tiles of its group that hold its own; first tells whether its tile is `low`."""
+    counts = rows.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("tiles"))
+    tiled = rows.join(counts, group).withColumn("tile", F.pmod(F.xxhash64("cls", F.lit(size)), F.col("tiles")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return tiled.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).withColumn("first", F.col("tile") == F.col("low")).drop("tile", "other", "tiles")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, text: str, n: int, similar: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b, ...) that are links by their full shingle sets."""
-    pairs = pairs.select("a", "b", "a_id", "b_id")
-    parts = pairs.groupBy("a", "a_id").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
-    # wanted by document: its class as a centre (b is null), and its class as a member of b's centre
-    roles = parts.select(F.col("a_id").alias("__id"), F.col("a").alias("own"), F.col("a").alias("centre"), "parts", F.lit(True).alias("leads"))
-    members = pairs.join(parts.select("a", "parts"), "a").select(F.col("b_id").alias("__id"), F.col("b").alias("own"), F.col("a").alias("centre"), "parts", F.lit(False).alias("leads"))
-    roles = roles.unionByName(members)
-    texts = roles.join(docs.select("__id", F.col(text).alias("__text")), "__id")
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b): for each band's bucket and pair of tiles, stars that join what pairs with near sketches join."""
+    banded = classes.select("cls", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    held = materialise(banded.join(shared, "band"))
+    tiled = _tiled(held, "band", TILE).join(classes.select("cls", "sketch"), "cls").select("band", "low", "high", "first", "cls", "sketch")
+    tiled = tiled.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+
+    def compare(batches):
+        for rows, edges in _groups(batches, 3):
+            sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+            first, low, high = (np.asarray(rows[c]) for c in ("first", "low", "high"))
+            size = np.diff(edges)
+            group = np.repeat(np.arange(len(size)), size)
+            few = size[group] <= 8
+            found = [], []
+            for d in range(1, 8):  # small buckets all at once: rows d apart
+                i = np.flatnonzero(few[:-d] & (group[:-d] == group[d:])) if len(group) > d else np.zeros(0, np.int64)
+                z = np.bitwise_count(sketch[i] ^ sketch[i + d]).sum(1)
+                i = i[(z <= 2 * MAX_DIFFER) & ((low[i] == high[i]) | (first[i] != first[i + d]))]
+                found[0].append(i)
+                found[1].append(i + d)
+            for g in np.flatnonzero(size > 8):
+                own = np.arange(edges[g], edges[g + 1])
+                same = low[own[0]] == high[own[0]]
+                x, y = (own, own) if same else (own[first[own]], own[~first[own]])
+                z = np.zeros((len(x), len(y)), np.int32)
+                for w in range(sketch.shape[1]):
+                    z += np.bitwise_count(sketch[x, w, None] ^ sketch[None, y, w])
+                i, j = np.nonzero(z <= 2 * MAX_DIFFER)
+                i, j = x[i], y[j]
+                if same:
+                    i, j = i[i < j], j[i < j]
+                found[0].append(i)
+                found[1].append(j)
+            a, b = _stars(np.concatenate(found[0]), np.concatenate(found[1]), rows["cls"].to_pylist())
+            a, b = (rows["cls"].take(pa.array(v, pa.int64())).combine_chunks() for v in (a, b))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+    return tiled.mapInArrow(compare, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sets of x with sets of y."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    sides = [np.concatenate(s) for s in (x, y)]
+    both = np.intersect1d(np.unique(sides[0]), np.unique(sides[1]), assume_unique=True)
+    if not len(both):
+        return out
+    at = []
+    for sets, flat in zip((x, y), sides, strict=True):
+        column = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        hit = both[column] == flat
+        order = np.argsort(column[hit], kind="stable")
+        at.append((column[hit][order], row[hit][order]))
+    width = 4096
+    for c in range(0, len(both), width):
+        part = []
+        for (column, row), sets in zip(at, (x, y), strict=True):
+            a, z = np.searchsorted(column, [c, c + width])
+            m = np.zeros((len(sets), min(width, len(both) - c)), np.float32)
+            m[row[a:z], column[a:z] - c] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out
+
+
+def confirm(near: DataFrame, classes: DataFrame, docs: DataFrame, text: str, n: int, similar: tuple[int, int]) -> DataFrame:
+    """Links (a, b) by full shingle sets among classes with one label of near (node, label): stars that join what links join, for each pair of tiles."""
+    wanted = near.select(F.col("node").alias("cls"), F.col("label").alias("near")).join(classes.select("cls", "id"), "cls")
+    tiled = _tiled(wanted, "near", SETS)
+    places = F.collect_list(F.struct("low", "high", "first"))  # as many as the class's group has tiles
+    asked = tiled.groupBy("cls", "near", "id").agg(places.alias("places"))
+    texts = asked.join(docs.select("__id", F.col(text).alias("__text")), F.col("id") == F.col("__id"))
 
     def sets(batches):
         for whole in batches:
             for batch in text_slices(whole, "__text"):
                 made = list(shingle_sets(batch.column("__text"), n))
-                own = batch.column("own").to_pylist()
-                keep = [i for i, (c, _) in enumerate(made) if c == own[i]]
+                keep = [i for i, ((c, _), own) in enumerate(zip(made, batch.column("cls").to_pylist(), strict=True)) if c == own]
                 rows = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("own", "centre", "parts", "leads")), pa.array([made[i][1].tobytes() for i in keep], pa.binary())], names=["own", "centre", "parts", "leads", "hashes"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("cls", "near", "places")), pa.array([made[i][1].tobytes() for i in keep], pa.binary())], names=["cls", "near", "places", "hashes"])
 
-    full = materialise(texts.mapInArrow(sets, "own binary, centre binary, parts int, leads boolean, hashes binary"))
-    lead = full.where("leads").select(F.col("centre").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hashes").alias("x"))
-    member = full.where("not leads").select(F.col("own").alias("b"), F.col("centre").alias("a"), F.pmod(F.xxhash64("own"), F.col("parts")).cast("int").alias("part"), F.col("hashes").alias("y"))
+    full = texts.select("cls", "near", "places", "__text").mapInArrow(sets, "cls binary, near binary, places array<struct<low:int,high:int,first:boolean>>, hashes binary")
+    spread = full.withColumn("p", F.explode("places")).select("near", "p.low", "p.high", "p.first", "cls", "hashes").repartition("near", "low", "high").sortWithinPartitions("near", "low", "high")
 
     def check(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                shared = int((x[at] == y).sum())
-                good.append(similar[1] * shared >= similar[0] * (len(x) + len(y) - shared))
-            good = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], names=["a", "b"])
-
-    return member.join(lead, ["a", "part"]).select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+        for rows, edges in _groups(batches, 3):
+            hashes = [np.frombuffer(v, np.uint64) for v in rows["hashes"].to_pylist()]
+            size = np.array([len(h) for h in hashes])
+            first, low, high = (np.asarray(rows[c]) for c in ("first", "low", "high"))
+            found = [], []
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = np.arange(s, e)
+                same = low[s] == high[s]
+                x, y = (own, own) if same else (own[first[own]], own[~first[own]])
+                if not len(x) or not len(y) or (same and len(own) < 2):
+                    continue
+                shared = intersections([hashes[i] for i in x], [hashes[i] for i in y]).astype(np.int64)
+                i, j = np.nonzero(similar[1] * shared >= similar[0] * (size[x][:, None] + size[y][None] - shared))
+                i, j = x[i], y[j]
+                if same:
+                    i, j = i[i < j], j[i < j]
+                found[0].append(i)
+                found[1].append(j)
+            if found[0]:
+                a, b = _stars(np.concatenate(found[0]), np.concatenate(found[1]), rows["cls"].to_pylist())
+                a, b = (rows["cls"].take(pa.array(v, pa.int64())).combine_chunks() for v in (a, b))
+                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+    return spread.mapInArrow(check, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) with the smallest node of its component, for every node of the edges (a, b)."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
-    while True:
-        labels = materialise(labels)
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        joined = labels.join(seen, labels["node"] == seen["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        joined = materialise(joined.join(up, "label", "left").select("node", "was", F.least("label", "up").alias("label")))
-        if joined.where("was != label").isEmpty():
-            return joined.select("node", "label")
-        labels = joined.select("node", "label")
-
-
-def across(members: DataFrame, nearest: int | None) -> DataFrame:
-    """Pairs (a, b) across components among rows (band, cls, label, sketch) of a band, in tiles; `nearest` for each pair of labels and tile, or all."""
-    counts = members.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    tiled = members.join(counts, "band").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-    tiled = tiled.select("band", "low", "high", "tile", "cls", "label", "sketch").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
-
-    def compare(group: list[tuple]) -> list[tuple[bytes, bytes]]:
-        low, high = group[0][1:3]
-        x = [r for r in group if r[3] == low]
-        y = x if low == high else [r for r in group if r[3] == high]
-        if not x or not y:
-            return []
-        sx, sy = (np.frombuffer(b"".join(r[6] for r in s), np.uint64).reshape(len(s), -1) for s in (x, y))
-        names = {c: i for i, c in enumerate({r[5] for r in group})}
-        lx, ly = (np.array([names[r[5]] for r in s]) for s in (x, y))
-        z = np.zeros((len(x), len(y)), np.int32)
-        for w in range(sx.shape[1]):
-            z += np.bitwise_count(sx[:, w, None] ^ sy[None, :, w])
-        i, j = np.nonzero((z <= 2 * MAX_DIFFER) & (lx[:, None] != ly[None, :]))
-        if low == high:
-            i, j = i[i < j], j[i < j]
-        if nearest is not None and len(i) > nearest:
-            pair = np.minimum(lx[i], ly[j]) * len(names) + np.maximum(lx[i], ly[j])
-            order = np.lexsort((z[i, j], pair))
-            pair = pair[order]
-            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-            rank = np.arange(len(pair)) - np.repeat(first, np.diff(np.append(first, len(pair))))
-            order = order[rank < nearest]
-            i, j = i[order], j[order]
-        return [tuple(sorted((x[p][4], y[q][4]))) for p, q in zip(i, j, strict=True)]
+    """(node, label) with the smallest node of its component, for every node of the edges (a, b).
 
-    def run(batches):
-        group, out = [], []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[:3] != group[0][:3]:
-                    out += compare(group)
-                    group = []
-                group.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
-            out = []
-        if group:
-            out = compare(group)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-    return tiled.mapInArrow(run, "a binary, b binary").distinct()
+    Every node points to its smallest neighbour, pointers are followed to their roots, and edges shrink to those between
+    different roots, until none is left.
+    """
+    edges = materialise(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    out = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+        while True:
+            next_ = up.select(F.col("node").alias("label"), F.col("label").alias("up"))
+            jumped = materialise(up.join(next_, "label").select("node", F.col("label").alias("was"), F.col("up").alias("label")))
+            up = jumped.select("node", "label")
+            if jumped.where("was != label").isEmpty():
+                break
+        if out is None:
+            out = up
+        else:
+            top = up.withColumnRenamed("label", "top").withColumnRenamed("node", "label")
+            out = materialise(out.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+        a, b = (up.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+        joined = edges.join(a, "a").join(b, "b").where("la != lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+        edges = materialise(joined.distinct())
+        if edges.isEmpty():
+            return out
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -246,46 +324,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     made = materialise(features(docs, text, shingle))
     classes = made.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialise(classes)
-    banded = classes.select("cls", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("cls").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    buckets = materialise(banded.join(shared.select("band", "centre"), "band"))
-    shares = buckets.where("cls != centre").groupBy("cls", "centre").agg(F.count("*").alias("n"))
-    star = shares.groupBy("cls").agg(F.max_by("centre", F.struct("n", "centre")).alias("a")).select("a", F.col("cls").alias("b"))
-    sketches = classes.select("cls", "sketch")
-    labels = tested = None
-    for nearest in (0, 4, None):
-        if nearest == 0:
-            pairs = star
-        else:
-            known = buckets.select("cls", "band")
-            known = known.join(labels, known["cls"] == labels["node"], "left").select("band", "cls", F.coalesce("label", "cls").alias("label")) if labels is not None else known.select("band", "cls", F.col("cls").alias("label"))
-            mixed = known.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band")
-            pairs = across(known.join(mixed, "band").join(sketches, "cls").select("band", "cls", "label", "sketch"), nearest)
-            pairs = pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs
-        pairs = materialise(_near(pairs, classes))
-        if pairs.isEmpty():
-            if nearest == 0:
-                continue
-            break
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tested = ordered if tested is None else materialise(tested.unionByName(ordered))
-        edges = materialise(confirm(pairs, docs, text, shingle, similar))
-        if labels is None:
-            labels = components(edges)
-            continue
-        a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-        joined = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        more = components(joined).withColumnRenamed("label", "top").withColumnRenamed("node", "label")
-        kept = labels.join(more, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-        new = more.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
-        labels = materialise(kept.unionByName(new))
-    tops = classes.select("cls", "id")
-    if labels is not None:
-        tops = tops.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        least = tops.groupBy("label").agg(F.min("id").alias("top"))
-        tops = tops.join(least, "label").select("cls", F.col("top"))
-    else:
-        tops = tops.select("cls", F.col("id").alias("top"))
+    near = components(candidates(classes))
+    labels = components(confirm(near, classes, docs, text, shingle, similar)).withColumnRenamed("node", "cls")
+    tops = classes.select("cls", "id").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    least = tops.groupBy("label").agg(F.min("id").alias("top"))
+    tops = tops.join(least, "label").select("cls", "top")
     rows = made.select("id", "cls", "n_shingles").join(tops, "cls", "left").withColumn("top", F.coalesce("top", "id"))
     given = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return rows.select(given("id").alias(key), "cls", "n_shingles", given("top").alias("component_id"), (F.col("id") == F.col("top")).alias("kept"))
@@ -318,3 +361,17 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = link(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id, min(other) = doc_id AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""

@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -105,3 +106,6 @@ def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = near_dedup.query(spark, sf).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 4)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert sorted(con.sql(near_dedup.SQL).fetchall()) == sorted(map(tuple, got))
