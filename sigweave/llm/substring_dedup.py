@@ -34,9 +34,9 @@ from .common import hash_strings, materialise, ngram_hashes, split_words, table,
 
 WINDOW = 20
 STAGE_WINDOW = 40
-ANCHORS_A_BUCKET = 2_000_000
+ANCHORS_A_BUCKET = 1_000_000
 NO_ID = 2**63 - 1
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 # Perfect difference sets, modulus -> cover.
 COVERS = {1: (0,), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 6, 15, 22, 26, 45, 55)}
@@ -107,6 +107,32 @@ def keyed(docs: DataFrame, key: str) -> DataFrame:
     return materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
 
 
+def squeezed(docs: DataFrame, text: str) -> DataFrame:
+    """docs with text as compressed bytes: what a join moves."""
+    fields = [f if f.name != text else T.StructField(text, T.BinaryType()) for f in docs.schema]
+    at = docs.columns.index(text)
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = pa.array([press.compress(t.as_buffer()) if t.is_valid else None for t in columns[at]], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+    return docs.mapInArrow(run, T.StructType(fields))
+
+
+def unsqueezed(batches, column: str):
+    """Slices of batches with the column's texts as they were."""
+    press = zstandard.ZstdDecompressor()
+    for whole in batches:
+        at = whole.schema.names.index(column)
+        for batch in text_slices(whole, column, SLICE // 4):
+            columns = list(batch.columns)
+            columns[at] = pa.array([press.decompress(t.as_buffer()) if t.is_valid else None for t in columns[at]], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=whole.schema.names)
+
+
 def later_starts(docs: DataFrame, text: str, window: int) -> DataFrame:
     """(__row, starts): for rows of keyed() docs, the packed starts of windows that also start earlier."""
     v, cover, _ = cover_for(window)
@@ -148,11 +174,11 @@ def later_starts(docs: DataFrame, text: str, window: int) -> DataFrame:
     sent = docs.mapInArrow(send_anchors, "bucket int, head binary, hashes binary")
     found = sent.groupBy("bucket").applyInArrow(repeated, "row long, bucket int, bits binary")
     found = found.groupBy("row").agg(F.collect_list(F.struct("bucket", "bits")).alias("__found"))  # one entry per bucket at most
-    held = docs.join(found, docs["__row"] == found["row"]).select("__row", "__id", "__text", "__found")
+    held = squeezed(docs, "__text").join(found.withColumnRenamed("row", "__row"), "__row").select("__row", "__id", "__text", "__found")
 
     def send_windows(batches):
-        for whole in batches:
-            for batch in text_slices(whole, "__text", SLICE):
+        for batch in unsqueezed(batches, "__text"):
+            if batch.num_rows:
                 rows, ids = np.asarray(batch.column("__row")), np.asarray(batch.column("__id"))
                 places = Places(batch.column("__text"))
                 at, h = places.anchors(window)
@@ -211,12 +237,12 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     rows = keyed(docs, key)
     starts = later_starts(rows, text, window)
-    joined = rows.select("__row", *keep, F.col(text).alias("__text")).join(starts, "__row", "left").select(*keep, "__text", "__starts")
+    joined = squeezed(rows.select("__row", *keep, F.col(text).alias("__text")), "__text").join(starts, "__row", "left").select(*keep, "__text", "__starts")
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def drop(batches):
-        for whole in batches:
-            for batch in text_slices(whole, "__text"):
+        for batch in unsqueezed(batches, "__text"):
+            if batch.num_rows:
                 codes, bounds, words = split_words(batch.column("__text"), lower=False)
                 words = np.array(words.to_pylist(), object)
                 whole_texts = batch.column("__text")
@@ -249,3 +275,14 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", chars
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = strip(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20)),
+later AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 20)) AS i FROM later),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS kept, count(*) AS n FROM p LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.i = p.i WHERE gone.i IS NULL GROUP BY p.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

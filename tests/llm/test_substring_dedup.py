@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -79,3 +80,6 @@ def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = [(d, n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in brute(rows, 20)]
     assert sorted(map(tuple, sd.query(spark, sf).collect()), key=str) == sorted(want, key=str)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert sorted(con.sql(sd.SQL).fetchall()) == sorted(want)
