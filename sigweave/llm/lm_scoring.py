@@ -31,7 +31,8 @@ from .common import hash_strings, materialise, mix64, split_words, table, text_s
 
 ORDER = 2
 DELETED = 8  # one of so many parts of the training documents is held out for EM
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
+CHUNK = 250_000  # tokens whose estimates are held at once
 NGRAMS_A_BUCKET = 1_500_000
 ROUNDS = 40
 TOP = 24  # context buckets per order
@@ -147,31 +148,37 @@ def learn(cells: list[tuple[int, float, list[float]]], order: int, rounds: int =
     return em(np.repeat(pooled, len(weights), 0), bucket, len(weights), pooled)  # one token's worth of the pooled weights
 
 
-def blocks_of(docs: DataFrame, text: str, block_tokens: int) -> DataFrame:
-    """rows (__id, __crc, text) as blocks (block, ids, crcs, size, vocabulary, codes, tokens)."""
+def blocks_of(docs: DataFrame, text: str, block_tokens: int, deleted) -> DataFrame:
+    """rows (__id, __crc, text) as blocks (block, deleted, ids, crcs, size, vocabulary, codes); documents for which deleted(crcs) is true have blocks of their own."""
 
     def run(batches):
         number = np.random.default_rng()  # block numbers are fixed by being written; results don't depend on them
 
-        def emit(parts):
+        def emit(parts, out):
             ids, crcs, size, hashes = (np.concatenate([p[k] for p in parts]) if k else pa.concat_arrays([p[0] for p in parts]) for k in range(4))
             vocabulary, codes = np.unique(hashes, return_inverse=True)
-            row = [pa.array([int(number.integers(2**62))]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([press(crcs.astype("<u4"))]), pa.array([press(size.astype("<i8"))]), pa.array([press_keys(vocabulary) if len(vocabulary) else b""]), pa.array([press_codes(codes)])]
-            return pa.RecordBatch.from_arrays(row, names=["block", "ids", "crcs", "size", "vocabulary", "codes"])
+            row = [pa.array([int(number.integers(2**62))]), pa.array([out]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([press(crcs.astype("<u4"))]), pa.array([press(size.astype("<i8"))]), pa.array([press_keys(vocabulary) if len(vocabulary) else b""]), pa.array([press_codes(codes)])]
+            return pa.RecordBatch.from_arrays(row, names=["block", "deleted", "ids", "crcs", "size", "vocabulary", "codes"])
 
-        parts, held = [], 0
+        parts, held = {True: [], False: []}, {True: 0, False: 0}
         for whole in batches:
             for batch in text_slices(whole, text):
-                codes, bounds, words = split_words(batch.column(text), lower=True)
-                parts.append((batch.column("__id"), np.asarray(batch.column("__crc")), np.diff(bounds), hash_strings(words)[codes]))
-                held += len(codes) + batch.num_rows
-                if held >= block_tokens:
-                    yield emit(parts)
-                    parts, held = [], 0
-        if parts:
-            yield emit(parts)
-
-    return docs.mapInArrow(run, "block long, ids array<long>, crcs binary, size binary, vocabulary binary, codes binary")
+                role = deleted(np.asarray(batch.column("__crc")))
+                for out in (False, True):
+                    own = batch.filter(pa.array(role == out))
+                    if not own.num_rows:
+                        continue
+                    codes, bounds, words = split_words(own.column(text), lower=True)
+                    parts[out].append((own.column("__id"), np.asarray(own.column("__crc")), np.diff(bounds), hash_strings(words)[codes]))
+                    held[out] += len(codes) + own.num_rows
+                    if held[out] >= block_tokens:
+                        yield emit(parts[out], out)
+                        parts[out], held[out] = [], 0
+        for out in (False, True):
+            if parts[out]:
+                yield emit(parts[out], out)
+
+    return docs.mapInArrow(run, "block long, deleted boolean, ids array<long>, crcs binary, size binary, vocabulary binary, codes binary")
 
 
 def opened(row: dict, order: int) -> tuple[Block, np.ndarray]:
@@ -186,13 +193,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     docs = docs.select(F.col(key).cast("long").alias("__id"), crc.alias("__crc"), F.col(text).alias("__text"))
     size = docs.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     buckets = max(12, math.ceil(size / 6 / NGRAMS_A_BUCKET))
-    blocks = materialise(blocks_of(docs, "__text", block_tokens))
 
     def roles(crcs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(in training, deleted for EM) of each document."""
         train = crcs % modulus != held
         return train, train & (crcs // modulus % DELETED == 0)
 
+    blocks = materialise(blocks_of(docs, "__text", block_tokens, lambda crcs: roles(crcs)[1]))
+
     def send(batches):
         for batch in batches:
             for i in range(batch.num_rows):
@@ -222,7 +230,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
         kept[0] = int((total[0] > total[1]).sum()) if words[0] else 0
         return pa.table({"block": group["block"], "n": group["n"], "bucket": group["bucket"], "totals": back, "words": words, "kept_words": kept})
 
-    answers = materialise(blocks.select("block", "ids", "crcs", "size", "vocabulary", "codes").mapInArrow(send, "block long, n int, bucket int, keys binary, counts binary").groupBy("n", "bucket").applyInArrow(add_up, "block long, n int, bucket int, totals binary, words long, kept_words long"))
+    answers = materialise(blocks.drop("deleted", "ids").mapInArrow(send, "block long, n int, bucket int, keys binary, counts binary").groupBy("n", "bucket").applyInArrow(add_up, "block long, n int, bucket int, totals binary, words long, kept_words long"))
     vocab = answers.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("kept_words"), F.lit(0))).first()
 
     def count_roles(batches):
@@ -236,7 +244,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
 
     sums = blocks.select("size", "crcs").mapInArrow(count_roles, "a long, b long, c long, d long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in "abcd"]).first()
     tokens, documents, words = (int(sums[0]), int(sums[0] - sums[1])), (int(sums[2]), int(sums[2] - sums[3])), (int(vocab[0]), int(vocab[1]))
-    joined = blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias("answers")), "block")
+    back = answers.select("block", "n", "bucket", "totals")
+
+    def with_answers(some: DataFrame, back: DataFrame) -> DataFrame:
+        return some.drop("deleted").join(back.groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias("answers")), "block")  # one entry per order and bucket
+
 
     def answered(batch):
         """(row, block, crcs, totals in training by order, totals deleted by order) of each block of a batch."""
@@ -248,28 +260,31 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
 
     def histogram(batches):
         for batch in batches:
-            for _, block, crcs, total, deleted in answered(batch):
-                mine = roles(crcs)[1][block.owner]
+            for _, block, _, total, deleted in answered(batch):
                 gram, context = block.counts({n: total[n] - deleted[n] for n in total}, documents[1])
-                bucket, f = estimates([g[mine] for g in gram], [c[mine] for c in context], tokens[1], words[1])
-                cell = bucket
-                for n in range(1, order + 1):
-                    level = np.where(f[:, n] > 0, np.round(2 * np.log2(np.maximum(f[:, n], 1e-30))) + 201, 0).astype(np.int64)
-                    cell = cell * 256 + level
-                cells, at = np.unique(cell, return_inverse=True)
-                n_at = np.bincount(at, minlength=len(cells))
-                means = [np.bincount(at, f[:, k], len(cells)) for k in range(order + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n_at), pa.array(np.stack(means, 1).tolist(), pa.list_(pa.float64()))], names=["cell", "n", "f"])
-
-    cells = joined.mapInArrow(histogram, "cell long, n long, f array<double>").groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(F.col("f")[k]).alias(f"f{k}") for k in range(order + 1)]).collect()  # as many as the grid has cells at most
+                for c in range(0, len(block.at), CHUNK):
+                    bucket, f = estimates([g[c : c + CHUNK] for g in gram], [x[c : c + CHUNK] for x in context], tokens[1], words[1])
+                    cell = bucket
+                    for n in range(1, order + 1):
+                        level = np.where(f[:, n] > 0, np.round(2 * np.log2(np.maximum(f[:, n], 1e-30))) + 201, 0).astype(np.int64)
+                        cell = cell * 256 + level
+                    cells, at = np.unique(cell, return_inverse=True)
+                    n_at = np.bincount(at, minlength=len(cells))
+                    means = [np.bincount(at, f[:, k], len(cells)) for k in range(order + 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n_at), pa.array(np.stack(means, 1).tolist(), pa.list_(pa.float64()))], names=["cell", "n", "f"])
+
+    left_out = blocks.where("deleted")
+    cells = with_answers(left_out, back.join(left_out.select("block"), "block", "left_semi")).mapInArrow(histogram, "cell long, n long, f array<double>").groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(F.col("f")[k]).alias(f"f{k}") for k in range(order + 1)]).collect()  # as many as the grid has cells at most
     weights = learn([(r["cell"] >> (8 * order), r["n"], [r[f"f{k}"] / r["n"] for k in range(order + 1)]) for r in sorted(cells)], order)
 
     def finish(batches):
         for batch in batches:
             for row, block, crcs, total, _ in answered(batch):
                 gram, context = block.counts(total, documents[0])
-                bucket, f = estimates(gram, context, tokens[0], words[0])
-                model = np.log10((weights[bucket] * f).sum(1))
+                model = np.empty(len(block.at))
+                for c in range(0, len(model), CHUNK):
+                    bucket, f = estimates([g[c : c + CHUNK] for g in gram], [x[c : c + CHUNK] for x in context], tokens[0], words[0])
+                    model[c : c + CHUNK] = np.log10((weights[bucket] * f).sum(1))
                 base = np.log10((gram[0] + 1) / (tokens[0] + words[0] + 1))
                 starts = np.cumsum(block.tokens) - block.tokens
                 per = [np.add.reduceat(v, starts) for v in ((gram[0] > 0).astype(np.int64), base, model)]
@@ -278,7 +293,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
                     names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return joined.mapInArrow(finish, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return with_answers(blocks, back).mapInArrow(finish, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
