@@ -31,8 +31,8 @@ from .common import hash_strings, materialise, mix64, split_words, table, text_s
 
 ORDER = 2
 DELETED = 8  # one of so many parts of the training documents is held out for EM
-BLOCK_TOKENS = 2_000_000
-CHUNK = 250_000  # tokens whose estimates are held at once
+BLOCK_TOKENS = 1_000_000
+CHUNK = 100_000  # tokens whose estimates are held at once
 NGRAMS_A_BUCKET = 1_500_000
 ROUNDS = 40
 TOP = 24  # context buckets per order
@@ -285,6 +285,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
                 for c in range(0, len(model), CHUNK):
                     bucket, f = estimates([g[c : c + CHUNK] for g in gram], [x[c : c + CHUNK] for x in context], tokens[0], words[0])
                     model[c : c + CHUNK] = np.log10((weights[bucket] * f).sum(1))
+                del total
                 base = np.log10((gram[0] + 1) / (tokens[0] + words[0] + 1))
                 starts = np.cumsum(block.tokens) - block.tokens
                 per = [np.add.reduceat(v, starts) for v in ((gram[0] > 0).astype(np.int64), base, model)]
