@@ -407,10 +407,9 @@ def percent_format(spark, sf):
 
 @query()
 def lcs_length(spark, sf):
-    """Longest common subsequences of the first events of neighbouring users."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    first = table(spark, sf, "events").withColumn("i", F.row_number().over(w)).where("i <= 30").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("i", "event_type"))).alias("s"))
-    seqs = first.select("user_id", F.col("s.event_type").alias("s"))
+    """Longest common subsequences of the whole event logs of neighbouring users."""
+    logs = table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("s"))
+    seqs = logs.select("user_id", F.col("s.event_type").alias("s"))
     pairs = seqs.join(seqs.select((F.col("user_id") - 1).alias("user_id"), F.col("s").alias("t")), "user_id")
     return pairs.select("user_id", sequences.lcs_length(F.col("s"), F.col("t")).alias("lcs"), F.round(sequences.lcs_similarity(F.col("s"), F.col("t")), 6).alias("similarity"))
 
