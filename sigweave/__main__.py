@@ -94,7 +94,7 @@ def analyze(spark: SparkSession, args) -> None:
     compile_formula(args.bsth, {"size": F.lit(1), "pop": F.lit(0)})
     apps = signatures.read(spark, args.apk).persist()
     began = time.perf_counter()
-    found = detection.detect(spark.read.parquet(f"{args.libs}/records"), apps, settings, keep=lambda df: df.persist()).persist()
+    found = detection.detect(spark.read.parquet(f"{args.libs}/records"), apps, settings, keep=lambda df: df.localCheckpoint()).persist()
     if args.out:
         results.write_json(found, args.out, args.f)
     lines = results.report(found if args.v & 2 else found.where("accepted"))

@@ -7,10 +7,12 @@ class matching and weighted voting to its fixpoint; everything between scans is
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,8 @@ from .assignment import solve
 from .selection import DETECTION_THRESHOLD, SCAN_RANGE, SKETCH_THRESHOLD, resolve, scan_window, sketch_filter
 from .sketches import ARTIFACT_PRIME, containment
 
+PARTS = 32  # rounds whose results are put together at once
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -35,7 +39,6 @@ class Settings:
     sketch_formula: str = SKETCH_THRESHOLD
     detection_formula: str = DETECTION_THRESHOLD
     additional_methods: bool = False
-    rounds: int = 100
 
 
 @dataclass
@@ -166,7 +169,7 @@ def scan(library: list[Class], app: list[Class], s: Settings, threshold: float)
             if fits and l.hashes and len(l.hashes & a.hashes) / len(l.hashes) > s.sketch_similarity:
                 initial[i, j] = similarity(i, j)[0]
     matrix, seen, result = initial, set(), None
-    for _ in range(s.rounds):
+    while True:  # the matchings are finite, so that one repeats
         matching = solve(matrix)
         if tuple(matching) in seen:
             return result | {"classes": [(library[i].name, app[j].name, similarity(i, j)[0]) for i, j in matching]} if result else None
@@ -219,7 +222,6 @@ def scan(library: list[Class], app: list[Class], s: Settings, threshold: float)
             for j, a in enumerate(app):
                 vote = types.get(l.name, a.name) if s.additional_methods or len(a.methods) <= len(l.methods) else 0.0
                 matrix[i, j] = min(1.0, max(vote, 1e-6) if initial[i, j] == 1 else vote)
-    return None
 
 
 def class_hashes(classes: DataFrame, k: int) -> DataFrame:
@@ -238,14 +240,16 @@ def detect(libraries: DataFrame, apps: DataFrame, settings: Settings = Settings(
 
     `keep` fixes a round's rows (a table written or cached), so that later rounds don't compute them again. A round
     scans what the sketches suggest, accepts in order of (match, cover), takes accepted classes out of the applications,
-    and drops library candidates whose scan failed; it ends when no candidate is left.
+    and drops library candidates whose scan failed; it ends when no candidate is left. Each round drops a candidate or takes
+    classes away in each application that it scans. There can be as many rounds as copies of a library in an application, so
+    that `keep` should cut the plan, too.
     """
     s = settings
     lib_hashes, app_hashes = keep(class_hashes(libraries, s.k)), keep(class_hashes(apps, s.k))
     lib_sets = lib_hashes.select(F.col("artifact").alias("library"), "h").distinct()
     weights = libraries.select(F.col("artifact").alias("library"), "cls", "record")
-    left, failed, out = apps, None, None
-    for number in range(1, s.rounds + 1):
+    left, failed, parts = apps, None, []
+    for number in itertools.count(1):
         current = app_hashes.join(left.select("artifact", "cls"), ["artifact", "cls"], "left_semi").select(F.col("artifact").alias("app"), "h").distinct()
         pops = current.groupBy("app").agg((F.count_distinct(F.pmod("h", F.lit(ARTIFACT_PRIME))) / F.lit(float(ARTIFACT_PRIME))).alias("pop"))
         scores = containment(lib_sets, current, "library", "app").join(pops, "app")
@@ -270,18 +274,18 @@ def detect(libraries: DataFrame, apps: DataFrame, settings: Settings = Settings(
         results = scanned.where("match IS NOT NULL")
         members = results.select("app", "library", F.explode("classes").alias("member"))
         resolved = keep(resolve(results, members, key="library", order=[F.desc("match"), F.desc("cover"), F.asc("library")], within=["app"]).withColumn("round", F.lit(number)))
-        out = resolved if out is None else out.unionByName(resolved)
+        parts.append(resolved)
+        if len(parts) == PARTS:
+            parts = [keep(reduce(DataFrame.unionByName, parts))]
         gone = resolved.where("accepted").select(F.col("app").alias("artifact"), F.explode("classes").alias("cls")).distinct()
         left = keep(left.join(gone, ["artifact", "cls"], "left_anti"))
-        if results.isEmpty() and missed.isEmpty():
-            break
         # a library whose classes are all taken by others, or none, would be scanned forever
         stuck = resolved.where("not accepted OR size(classes) = 0").select("app", "library")
         failed = keep(failed.unionByName(stuck))
-    if out is None:
+    if not parts:
         empty = "app string, library string, match double, cover double, classes array<string>, accepted boolean, round int"
         return libraries.sparkSession.createDataFrame([], empty)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _threshold(formula: str, weight: int) -> float:
