@@ -279,8 +279,8 @@ def detect(libraries: DataFrame, apps: DataFrame, settings: Settings = Settings(
             parts = [keep(reduce(DataFrame.unionByName, parts))]
         gone = resolved.where("accepted").select(F.col("app").alias("artifact"), F.explode("classes").alias("cls")).distinct()
         left = keep(left.join(gone, ["artifact", "cls"], "left_anti"))
-        # a library whose classes are all taken by others, or none, would be scanned forever
-        stuck = resolved.where("not accepted OR size(classes) = 0").select("app", "library")
+        # a result without classes takes none away and would be scanned forever; one that lost a conflict is scanned again on what is left
+        stuck = resolved.where("size(classes) = 0").select("app", "library")
         failed = keep(failed.unionByName(stuck))
     if not parts:
         empty = "app string, library string, match double, cover double, classes array<string>, accepted boolean, round int"
