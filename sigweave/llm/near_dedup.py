@@ -319,7 +319,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(key, cls, n_shingles, component_id, kept) of each row."""
+    """(key, cls, n_shingles, component_id, kept, label) of each row; a component's label is its smallest class, null without words."""
     docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("__id"), F.col(text))
     made = materialise(features(docs, text, shingle))
     classes = made.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -328,10 +328,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     labels = components(confirm(near, classes, docs, text, shingle, similar)).withColumnRenamed("node", "cls")
     tops = classes.select("cls", "id").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = tops.groupBy("label").agg(F.min("id").alias("top"))
-    tops = tops.join(least, "label").select("cls", "top")
+    tops = tops.join(least, "label").select("cls", "label", "top")
     rows = made.select("id", "cls", "n_shingles").join(tops, "cls", "left").withColumn("top", F.coalesce("top", "id"))
     given = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return rows.select(given("id").alias(key), "cls", "n_shingles", given("top").alias("component_id"), (F.col("id") == F.col("top")).alias("kept"))
+    return rows.select(given("id").alias(key), "cls", "n_shingles", given("top").alias("component_id"), (F.col("id") == F.col("top")).alias("kept"), "label")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -342,7 +342,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         gone = linked.where("not kept").select(F.col(key).alias("__gone"))
         return docs.join(gone, docs[key].eqNullSafe(gone["__gone"]), "left_anti")
 
-    # ids that repeat: rows are told apart by their class
+    # ids that repeat: rows are told apart by their class, components by their label
     schema = T.StructType([*docs.schema.fields, T.StructField("__cls", T.BinaryType())])
 
     def classed(batches):
@@ -352,7 +352,8 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     tagged = docs.mapInArrow(classed, schema)
     wordless = tagged.where("__cls IS NULL")
-    stay = linked.where("kept AND cls IS NOT NULL").groupBy("component_id").agg(F.min("cls").alias("__k")).select(F.col("component_id").alias("__i"), "__k")
+    first = F.min(F.struct(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(key).alias("key"), "cls")).alias("first")
+    stay = linked.where("cls IS NOT NULL").groupBy("label").agg(first).select(F.col("first.key").alias("__i"), F.col("first.cls").alias("__k"))
     found = tagged.join(stay, tagged["__cls"].eqNullSafe(stay["__k"]) & tagged[key].eqNullSafe(stay["__i"]), "left_semi")
     one = found.withColumn("__n", F.row_number().over(Window.partitionBy(key, "__cls").orderBy(F.lit(1)))).where("__n = 1")
     return one.select(*docs.columns).unionByName(wordless.select(*docs.columns))
