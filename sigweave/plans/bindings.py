@@ -414,6 +414,18 @@ def lcs_length(spark, sf):
     return pairs.select("user_id", sequences.lcs_length(F.col("s"), F.col("t")).alias("lcs"), F.round(sequences.lcs_similarity(F.col("s"), F.col("t")), 6).alias("similarity"))
 
 
+@query()
+def class_candidates_whole(spark, sf):
+    """class_candidates between all documents of different sources, those without a source included: no source is singled out."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("methods"), "n_chars")
+    grams = document_grams(spark, sf).select("doc_id", F.xxhash64("gram").alias("h"))
+    side = lambda p: docs.select(F.col("doc_id").alias(p), F.col("lang").alias(f"{p}_super"), F.col("methods").alias(f"{p}_methods"), F.col("n_chars").alias(f"{p}_weight"))
+    sets = similarity.candidates(side("l"), side("a"), grams.withColumnRenamed("doc_id", "l"), grams.withColumnRenamed("doc_id", "a"))
+    of = lambda p: docs.select(F.col("doc_id").alias(p), F.col("source").alias(f"{p}_source"))
+    apart = sets.join(of("l"), "l").join(of("a"), "a").where(~F.col("l_source").eqNullSafe(F.col("a_source")))
+    return apart.select("l", "a", F.round("score", 6).alias("score"))
+
+
 @query()
 def assignment_max_weight(spark, sf):
     """Nations to market segments within each region, by their customers' part of the segment."""
