@@ -15,6 +15,7 @@ from sigweave.functions import hashing, normalise
 from sigweave.functions.formula import compile_formula
 from sigweave.operators import assignment, catalogue, detection, kgrams, rollup, selection, sequences, similarity, sketches, votes
 from sigweave.sources import signatures
+from sigweave.sources.storage import materialise
 
 K = 5
 PRIME = sketches.PRIMES[2]
@@ -458,7 +459,7 @@ def detect_library(spark, sf):
     """Benchmark items found in the document sources."""
     library = text_records(table(spark, sf, "benchmark"), "item_id", "item_id")
     lines = table(spark, sf, "documents").select("source", "doc_id", "text")
-    return detection.detect(library, text_records(lines, "source", "doc_id"), keep=lambda df: df.localCheckpoint()).select("app", "library", F.round("match", 6).alias("match"), F.round("cover", 6).alias("cover"), "accepted", "round")
+    return detection.detect(library, text_records(lines, "source", "doc_id"), keep=materialise).select("app", "library", F.round("match", 6).alias("match"), F.round("cover", 6).alias("cover"), "accepted", "round")
 
 
 @query()
