@@ -13,6 +13,7 @@ from sigweave.functions import hashing
 from sigweave.functions.formula import compile_formula
 from sigweave.operators import catalogue, detection, rollup, sketches
 from sigweave.sources import results, signatures
+from sigweave.sources.storage import materialise
 
 
 def within(low: float, high: float, kind=float):
@@ -94,7 +95,7 @@ def analyze(spark: SparkSession, args) -> None:
     compile_formula(args.bsth, {"size": F.lit(1), "pop": F.lit(0)})
     apps = signatures.read(spark, args.apk).persist()
     began = time.perf_counter()
-    found = detection.detect(spark.read.parquet(f"{args.libs}/records"), apps, settings, keep=lambda df: df.localCheckpoint()).persist()
+    found = detection.detect(spark.read.parquet(f"{args.libs}/records"), apps, settings, keep=materialise).persist()
     if args.out:
         results.write_json(found, args.out, args.f)
     lines = results.report(found if args.v & 2 else found.where("accepted"))

@@ -14,8 +14,8 @@ def content_index(artifacts: DataFrame, library: str, version: str, digest: str)
 
 def representatives(artifacts: DataFrame, library: str, version: str, digest: str) -> DataFrame:
     """artifacts that stand for their content."""
-    index = content_index(artifacts, library, version, digest)
-    return artifacts.join(index.select(library, F.col("representative").alias(version)), [library, version], "left_semi")
+    first = artifacts.groupBy(library, digest).agg(F.min(F.col(version).cast("string")).alias(version))
+    return artifacts.join(first.select(library, version), [library, version], "left_semi")
 
 
 def remaining(classes: DataFrame, accepted: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,16 +1,18 @@
 """Detection of known libraries in applications: sketch filter, scan to a fixpoint, conflict resolution, round after round.
 
 A record is a class: (artifact, cls, lib_super, app_super, interfaces, methods), a method (idx, name, blocks' units with
-their references, k-gram hashes). Classes of a library and an application meet in one task per pair, which iterates
-class matching and weighted voting to its fixpoint; everything between scans is DataFrame code.
+their references, k-gram hashes). Records are opened once, into their k-gram hashes and what votes need. Classes of a
+library and an application meet in one task per pair, and only for pairs that the sketches suggest; the task iterates class
+matching and weighted voting to its fixpoint, over class pairs that share a k-gram or a vote. Everything between scans
+is DataFrame code.
 """
 
 from __future__ import annotations
 
 import itertools
 import json
-import math
-from collections import defaultdict
+import pickle
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .assignment import solve
-from .selection import DETECTION_THRESHOLD, SCAN_RANGE, SKETCH_THRESHOLD, resolve, scan_window, sketch_filter
+from .selection import DETECTION_THRESHOLD, SCAN_RANGE, SKETCH_THRESHOLD, detection_threshold, resolve, scan_window, sketch_filter
 from .sketches import ARTIFACT_PRIME, containment
 
 PARTS = 32  # rounds whose results are put together at once
@@ -43,25 +45,28 @@ class Settings:
 
 @dataclass
 class Method:
+    """A method's weight and k-gram hashes, and of its k-grams (lists of (instr, refs, invokes, callee class, callee idx)) those that votes look at."""
+
     idx: int
     name: str
     weight: int
-    grams: dict[int, list[list]]  # hash -> k-grams, each a list of (instr, refs, invokes, callee class, callee idx)
+    hashes: frozenset
+    typed: dict[int, list]
+    calls: dict[int, list]
+
+    @property
+    def constructor(self) -> bool:
+        return self.name in ("<init>", "<clinit>")
 
-    def __post_init__(self):
-        self.constructor = self.name in ("<init>", "<clinit>")
-        self.hashes = frozenset(self.grams)
-        self.typed = self._unique(lambda u: bool(u[1]))
-        self.calls = self._unique(lambda u: u[2])
 
-    def _unique(self, holds) -> dict[int, list]:
-        """k-grams with such a unit, by hash, where all of a hash agree in their references."""
-        out = {}
-        for h, own in self.grams.items():
-            some = [g for g in own if any(holds(u) for u in g)]
-            if some and len({json.dumps([u[1] for u in g]) for g in some}) == 1:
-                out[h] = some[0]
-        return out
+def unique(grams: dict[int, list[list]], holds) -> dict[int, list]:
+    """k-grams with such a unit, by hash, where all of a hash agree in their references."""
+    out = {}
+    for h, own in grams.items():
+        some = [g for g in own if any(holds(u) for u in g)]
+        if some and len({json.dumps([u[1] for u in g]) for g in some}) == 1:
+            out[h] = some[0]
+    return out
 
 
 @dataclass
@@ -78,7 +83,15 @@ class Class:
 
 
 def paths(blocks: list[list], follows: dict[int, list[int]], k: int):
-    """All walks of k units from each unit, over block ends into following blocks."""
+    """All walks of k units from each unit, over block ends into following blocks; through blocks without units, but through none of them twice on end."""
+
+    def onward(b: int, seen: tuple = ()):
+        for n in follows.get(b, ()):
+            if blocks[n]:
+                yield n
+            elif n not in seen:
+                yield from onward(n, (*seen, n))
+
     def walk(b: int, i: int, done: list):
         done = done + [blocks[b][i]]
         if len(done) == k:
@@ -86,9 +99,8 @@ def paths(blocks: list[list], follows: dict[int, list[int]], k: int):
         elif i + 1 < len(blocks[b]):
             yield from walk(b, i + 1, done)
         else:
-            for n in follows.get(b, ()):
-                if blocks[n]:
-                    yield from walk(n, 0, done)
+            for n in onward(b):
+                yield from walk(n, 0, done)
 
     for b, units in enumerate(blocks):
         for i in range(len(units)):
@@ -112,7 +124,7 @@ def load_class(record: dict, k: int) -> Class:
             for u in g:
                 h = (h * 31 + _hash(u[0])) % 2**32
             grams[h].append(g)
-        methods.append(Method(m["idx"], m["name"], sum(map(len, m["blocks"])), dict(grams)))
+        methods.append(Method(m["idx"], m["name"], sum(map(len, m["blocks"])), frozenset(grams), unique(grams, lambda u: bool(u[1])), unique(grams, lambda u: u[2])))
     return Class(record["name"], record.get("super"), record.get("superType"), record.get("interfaces") or [], methods)
 
 
@@ -163,11 +175,19 @@ def scan(library: list[Class], app: list[Class], s: Settings, threshold: float)
             sims[i, j] = class_match(library[i], app[j], s)
         return sims[i, j]
 
+    fits = lambda i, j: s.additional_methods or len(app[j].methods) <= len(library[i].methods)
+    wanted, holders = set().union(*(c.hashes for c in library)), defaultdict(list)
+    for j, a in enumerate(app):
+        for h in a.hashes & wanted:
+            holders[h].append(j)
     for i, l in enumerate(library):  # noqa: E741
-        for j, a in enumerate(app):
-            fits = s.additional_methods or len(a.methods) <= len(l.methods)
-            if fits and l.hashes and len(l.hashes & a.hashes) / len(l.hashes) > s.sketch_similarity:
+        for j, n in Counter(j for h in l.hashes for j in holders[h]).items():
+            if fits(i, j) and n / len(l.hashes) > s.sketch_similarity:
                 initial[i, j] = similarity(i, j)[0]
+    lib_at, app_at = defaultdict(list), defaultdict(list)
+    for at, classes in ((lib_at, library), (app_at, app)):
+        for i, c in enumerate(classes):
+            at[c.name].append(i)
     matrix, seen, result = initial, set(), None
     while True:  # the matchings are finite, so that one repeats
         matching = solve(matrix)
@@ -209,7 +229,7 @@ def scan(library: list[Class], app: list[Class], s: Settings, threshold: float)
                 for h in p.typed.keys() & q.typed.keys():
                     for u, v in zip(p.typed[h], q.typed[h], strict=True):
                         for t, w in zip(u[1], v[1], strict=False):
-                            if t is not None and w is not None and not (p.constructor and t == l.name):
+                            if t is not None and w is not None and not (q.constructor and w == a.name):
                                 types.add(t, w, score, p.weight)
         if not weight_sum:
             return None
@@ -218,21 +238,27 @@ def scan(library: list[Class], app: list[Class], s: Settings, threshold: float)
             return None
         result = {"match": match, "cover": cover}
         matrix = np.zeros_like(initial)
-        for i, l in enumerate(library):  # noqa: E741
-            for j, a in enumerate(app):
-                vote = types.get(l.name, a.name) if s.additional_methods or len(a.methods) <= len(l.methods) else 0.0
-                matrix[i, j] = min(1.0, max(vote, 1e-6) if initial[i, j] == 1 else vote)
+        for t, w in types.score:
+            for i, j in itertools.product(lib_at.get(t, ()), app_at.get(w, ())):
+                if fits(i, j):
+                    matrix[i, j] = min(1.0, types.get(t, w))
+        matrix = np.where(initial == 1, np.maximum(matrix, 1e-6), matrix)
 
 
-def class_hashes(classes: DataFrame, k: int) -> DataFrame:
-    """(artifact, cls, h): distinct k-gram hashes of class records (artifact, cls, record), record as JSON."""
+def opened(classes: DataFrame, k: int) -> DataFrame:
+    """(artifact, cls, weight, hashes, body): class records (artifact, cls, record as JSON) with their distinct k-gram hashes, and all that a scan needs of them as bytes."""
 
     def run(frames):
         for pdf in frames:
-            rows = [(a, c, h) for a, c, r in zip(pdf["artifact"], pdf["cls"], pdf["record"], strict=True) for h in load_class(json.loads(r), k).hashes]
-            yield pd.DataFrame(rows, columns=["artifact", "cls", "h"])
+            own = [load_class(json.loads(r), k) for r in pdf["record"]]
+            yield pd.DataFrame({"artifact": pdf["artifact"], "cls": pdf["cls"], "weight": [c.weight for c in own], "hashes": [sorted(c.hashes) for c in own], "body": [pickle.dumps(c) for c in own]})
 
-    return classes.select("artifact", "cls", "record").mapInPandas(run, "artifact string, cls string, h long")
+    return classes.select("artifact", "cls", "record").mapInPandas(run, "artifact string, cls string, weight long, hashes array<long>, body binary")
+
+
+def class_hashes(classes: DataFrame, k: int) -> DataFrame:
+    """(artifact, cls, h): distinct k-gram hashes of class records (artifact, cls, record)."""
+    return opened(classes, k).select("artifact", "cls", F.explode("hashes").alias("h"))
 
 
 def detect(libraries: DataFrame, apps: DataFrame, settings: Settings = Settings(), keep=lambda df: df) -> DataFrame:
@@ -245,32 +271,31 @@ def detect(libraries: DataFrame, apps: DataFrame, settings: Settings = Settings(
     that `keep` should cut the plan, too.
     """
     s = settings
-    lib_hashes, app_hashes = keep(class_hashes(libraries, s.k)), keep(class_hashes(apps, s.k))
-    lib_sets = lib_hashes.select(F.col("artifact").alias("library"), "h").distinct()
-    weights = libraries.select(F.col("artifact").alias("library"), "cls", "record")
-    left, failed, parts = apps, None, []
+    lib_rows, left = (keep(opened(classes, s.k)) for classes in (libraries, apps))
+    lib_sets = lib_rows.select(F.col("artifact").alias("library"), F.explode("hashes").alias("h")).distinct()
+    sizes = lib_rows.groupBy(F.col("artifact").alias("library")).agg(F.sum("weight").alias("size"))
+    thresholds = keep(sizes.select("library", detection_threshold(F.col("size"), s.detection_formula).alias("threshold")))
+    alive, parts = None, []
     for number in itertools.count(1):
-        current = app_hashes.join(left.select("artifact", "cls"), ["artifact", "cls"], "left_semi").select(F.col("artifact").alias("app"), "h").distinct()
+        current = left.select(F.col("artifact").alias("app"), F.explode("hashes").alias("h")).distinct()
         pops = current.groupBy("app").agg((F.count_distinct(F.pmod("h", F.lit(ARTIFACT_PRIME))) / F.lit(float(ARTIFACT_PRIME))).alias("pop"))
         scores = containment(lib_sets, current, "library", "app").join(pops, "app")
-        if failed is not None:
-            scores = scores.join(failed, ["app", "library"], "left_anti")
-        chosen = keep(scan_window(sketch_filter(scores, F.col("pop"), formula=s.sketch_formula), within=["app"], width=s.scan_range).select("app", "library"))
+        if alive is not None:
+            scores = scores.join(alive, ["app", "library"], "left_semi")
+        passed = keep(sketch_filter(scores, F.col("pop"), formula=s.sketch_formula))  # what fails here once is out for good
+        chosen = keep(scan_window(passed, within=["app"], width=s.scan_range).select("app", "library"))
         if chosen.isEmpty():
             break
-        lib_rows = chosen.join(weights, "library").select("app", "library", F.lit("l").alias("side"), "record")
-        app_rows = chosen.join(left.select(F.col("artifact").alias("app"), "record"), "app").select("app", "library", F.lit("a").alias("side"), "record")
+        lib_side = chosen.join(lib_rows.select(F.col("artifact").alias("library"), "body"), "library").join(thresholds, "library").select("app", "library", F.lit("l").alias("side"), "threshold", "body")
+        app_side = chosen.join(left.select(F.col("artifact").alias("app"), "body"), "app").select("app", "library", F.lit("a").alias("side"), F.lit(0.0).alias("threshold"), "body")
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            sides = {v: [load_class(json.loads(r), s.k) for r in sorted(pdf.loc[pdf["side"] == v, "record"])] for v in "la"}
-            weight = sum(c.weight for c in sides["l"])
-            found = scan(sides["l"], sides["a"], s, _threshold(s.detection_formula, weight))
+            sides = {v: sorted((pickle.loads(b) for b in pdf.loc[pdf["side"] == v, "body"]), key=lambda c: c.name) for v in "la"}
+            found = scan(sides["l"], sides["a"], s, float(pdf["threshold"].max()))
             row = [pdf["app"].iloc[0], pdf["library"].iloc[0], found and found["match"], found and found["cover"], [c[1] for c in found["classes"]] if found else []]
             return pd.DataFrame([row], columns=["app", "library", "match", "cover", "classes"])
 
-        scanned = keep(lib_rows.unionByName(app_rows).groupBy("app", "library").applyInPandas(one, "app string, library string, match double, cover double, classes array<string>"))
-        missed = scanned.where("match IS NULL").select("app", "library")
-        failed = missed if failed is None else keep(failed.unionByName(missed))
+        scanned = keep(lib_side.unionByName(app_side).groupBy("app", "library").applyInPandas(one, "app string, library string, match double, cover double, classes array<string>"))
         results = scanned.where("match IS NOT NULL")
         members = results.select("app", "library", F.explode("classes").alias("member"))
         resolved = keep(resolve(results, members, key="library", order=[F.desc("match"), F.desc("cover"), F.asc("library")], within=["app"]).withColumn("round", F.lit(number)))
@@ -280,38 +305,9 @@ def detect(libraries: DataFrame, apps: DataFrame, settings: Settings = Settings(
         gone = resolved.where("accepted").select(F.col("app").alias("artifact"), F.explode("classes").alias("cls")).distinct()
         left = keep(left.join(gone, ["artifact", "cls"], "left_anti"))
         # a result without classes takes none away and would be scanned forever; one that lost a conflict is scanned again on what is left
-        stuck = resolved.where("size(classes) = 0").select("app", "library")
-        failed = keep(failed.unionByName(stuck))
+        failed = scanned.where("match IS NULL OR size(classes) = 0").select("app", "library")
+        alive = keep(passed.select("app", "library").join(failed, ["app", "library"], "left_anti"))
     if not parts:
         empty = "app string, library string, match double, cover double, classes array<string>, accepted boolean, round int"
         return libraries.sparkSession.createDataFrame([], empty)
     return reduce(DataFrame.unionByName, parts)
-
-
-def _threshold(formula: str, weight: int) -> float:
-    """The detection formula for one number; the default one directly."""
-    if formula == DETECTION_THRESHOLD:
-        return max(0.1, 0.7 - 0.15 * math.log10(max(1, weight)))
-    names = {"max": max, "min": min, "log10": math.log10, "log": math.log, "sqrt": math.sqrt, "abs": abs, "size": float(weight)}
-    return _number(formula.replace("^", "**"), names)
-
-
-def _number(formula: str, names: dict) -> float:
-    import ast
-
-    def walk(n):
-        match n:
-            case ast.Constant(value=int() | float() as v):
-                return float(v)
-            case ast.Name(id=x) if isinstance(names.get(x), float):
-                return names[x]
-            case ast.UnaryOp(op=ast.USub(), operand=a):
-                return -walk(a)
-            case ast.BinOp(left=a, op=op, right=b):
-                x, y = walk(a), walk(b)
-                return {ast.Add: lambda: x + y, ast.Sub: lambda: x - y, ast.Mult: lambda: x * y, ast.Div: lambda: x / y, ast.Pow: lambda: x**y}[type(op)]()
-            case ast.Call(func=ast.Name(id=f), args=args) if callable(names.get(f)):
-                return float(names[f](*map(walk, args)))
-        raise ValueError(formula)
-
-    return walk(ast.parse(formula, mode="eval").body)

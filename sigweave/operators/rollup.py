@@ -37,8 +37,13 @@ def collapsed(shares: DataFrame) -> DataFrame:
     return shares.where("depth = 0 OR own != 0 OR children != 1")
 
 
-def rendered(shares: DataFrame) -> DataFrame:
-    """(prefix, line): a report line for each package, in order of the tree."""
+def rendered(shares: DataFrame, collapse: bool = False) -> DataFrame:
+    """(prefix, line): a report line for each package, in order of the tree; with collapse, without those that their only child stands for, and indented by what is left above."""
+    if collapse:
+        left = collapsed(shares)
+        above = left.select(F.col("prefix").alias("__above"))
+        up = left.select("prefix", F.explode(F.array_distinct(prefixes(F.col("prefix")))).alias("__above")).join(above, "__above").where("__above != prefix")
+        shares = left.drop("depth").join(up.groupBy("prefix").agg(F.count("*").alias("depth")), "prefix", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     label = F.when(F.col("prefix") == ROOT, DEFAULT).otherwise(F.col("prefix"))
     line = F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), label, F.format_string(" %.5f%%", F.col("own_share") * 100), F.when(F.col("children") > 0, F.format_string(" (%.5f%%)", F.col("total_share") * 100)).otherwise(""))
     return shares.select("prefix", line.alias("line"))

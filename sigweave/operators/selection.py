@@ -29,9 +29,10 @@ def sketch_filter(scores: DataFrame, pop: Column, score: str = "score", size: st
 def scan_window(scores: DataFrame, score: str = "score", within: list[str] | None = None, width: float = SCAN_RANGE) -> DataFrame:
     """Rows with a score over min(best - width, second best distinct score, 0 if there is none)."""
     within = within or []
-    tops = scores.groupBy(*within, score).agg(F.lit(1).alias("__one"))
-    tops = tops.groupBy(*within).agg(F.slice(F.sort_array(F.collect_set(score), asc=False), 1, 2).alias("__top")) if not within else tops.withColumn("__rank", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(score)))).where("__rank <= 2").groupBy(*within).agg(F.sort_array(F.collect_list(score), asc=False).alias("__top"))
-    tops = tops.select(*within, F.least(F.element_at("__top", 1) - width, F.coalesce(F.get("__top", F.lit(1)), F.lit(0.0))).alias("__over"))
+    best = scores.groupBy(*within).agg(F.max(score).alias("__best"))
+    both = scores.join(best, within) if within else scores.crossJoin(F.broadcast(best))  # one row
+    second = F.max(F.when(F.col(score) < F.col("__best"), F.col(score)))  # of distinct scores
+    tops = both.groupBy(*within).agg(F.least(F.max("__best") - width, F.coalesce(second, F.lit(0.0))).alias("__over"))
     joined = scores.join(tops, within) if within else scores.crossJoin(F.broadcast(tops))  # one row
     return joined.where(F.col(score) > F.col("__over")).drop("__over")
 

@@ -16,7 +16,7 @@ def arriving(spark: SparkSession, path: str, schema: T.StructType, files_a_batch
 
 def arriving_kgrams(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(key, kgram) of each arriving text's words; no state is kept."""
-    words = F.split(F.col(text), "[ \n]+")
+    words = F.filter(F.split(F.col(text), "[ \n]+"), lambda w: w != "")
     return docs.select(key, F.explode(windows_of(words, k)).alias("kgram")).select(key, F.array_join("kgram", " ").alias("kgram"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 from sigweave.operators import detection
 from sigweave.plans import bindings
 from sigweave.sources import signatures
+from sigweave.sources.storage import materialise
 
 
 def common(a, b):
@@ -32,7 +33,7 @@ def test_lcs_length_takes_whole_logs(spark, tmp_path):
 def lines(spark, rows):
     """Class records of (artifact, class, prefix of its words, number of words)."""
     record = lambda c, p, n: json.dumps({"name": c, "methods": [{"name": "line", "idx": 0, "blocks": [[signatures.unit(f"{p}{i}") for i in range(n)]], "blockSuccs": {}}], "interfaces": []})
-    return spark.createDataFrame([(a, c, record(c, p, n)) for a, c, p, n in rows], "artifact string, cls string, record string").coalesce(1).localCheckpoint()
+    return spark.createDataFrame([(a, c, record(c, p, n)) for a, c, p, n in rows], "artifact string, cls string, record string").coalesce(1)
 
 
 def detected(spark, libraries, apps, settings):
@@ -40,7 +41,7 @@ def detected(spark, libraries, apps, settings):
     n = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        found = detection.detect(lines(spark, libraries), lines(spark, apps), settings, keep=lambda df: df.localCheckpoint()).where("accepted").collect()
+        found = detection.detect(lines(spark, libraries), lines(spark, apps), settings, keep=materialise).where("accepted").collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", n)
     return [(r.library, sorted(r.classes)) for r in sorted(found, key=lambda r: r["round"])]
