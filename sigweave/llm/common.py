@@ -6,16 +6,14 @@ their input, so that tasks that run again on another executor give the same rows
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigweave.sources.storage import materialise, release, shared_dir  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -23,36 +21,7 @@ _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 
 
-# ---------------------------------------------------------------- shared storage
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="sigweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """df as a table written once to the shared folder: its rows are fixed from here on and its lineage ends.
-
-    The files live until the driver's process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sigweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the JVM may have ended before
-        pass
+# ---------------------------------------------------------------- tables
 
 
 def partitions(spark: SparkSession) -> int:

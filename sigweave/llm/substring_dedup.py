@@ -2,21 +2,22 @@
 
 A window of W words is removed if the same words start earlier somewhere. Anchors are runs of L = W - V + 1 words
 at places (counted from the text's start) that are in a difference cover modulo V: two equal windows, wherever they
-start, hold equal anchors at the same offset below V. So:
-
-1. every text sends the hashes of its anchors, a |cover| / V part of its places, to buckets by hash; a bucket sends
-   back to each text which of its anchors occur more than once;
-2. each repeated anchor is extended to the windows that hold it at an offset below V; only these windows' hashes
-   (96 bits, of all W words) go to buckets, which find the earliest start of each and send back all later starts;
-3. texts drop the words that those windows cover.
-
-What moves is packed arrays, one row per slice of texts and bucket, never one row per window; no bucket gathers more
-than its share of distinct hashes times their repeats, and a passage that all texts share is a single number in each
-of them. Buckets are sized by the corpus (ANCHORS_A_BUCKET).
-
-Defined results: null text has no words; texts under W words lose nothing; earlier means a smaller id, then (for
-rows that share an id) a smaller row number given once, then an earlier start; a null id is larger than all others;
-an empty table gives no rows; extra columns are kept by `deduplicated` and play no part.
+start, hold equal anchors at the same offset below V. Texts are written once, as slices (see slices), and:
+
+1. every slice sends the distinct hashes of its anchors, a |cover| / V part of its places at most, to buckets by hash;
+   a bucket tells each slice which of them occur more than once;
+2. each repeated anchor is extended to the windows that hold it at an offset below V; a slice sends each such window
+   once (64 to 96 bits of hash of all W words, so many that two windows of a corpus meet with a chance of one in a
+   million) with its earliest start in the slice, and a bucket tells each slice which of its windows start nowhere earlier;
+3. slices drop the words that all other windows cover.
+
+No row stands for a document, a window or a pair of them: there are slices x buckets rows of packed numbers, and a
+passage that all texts share is one number per slice. Buckets are sized by the corpus (ANCHORS_A_BUCKET).
+
+Defined results: null text has no words; texts under W words lose nothing, texts of any length are taken whole (a text
+over a slice's size is a slice of its own); earlier means a smaller id, then (for rows that share an id) a smaller row
+number given once, then an earlier start; a null id is larger than all others; an empty table gives no rows; extra
+columns are kept by `deduplicated` and play no part; for `strip`, a column of docs with the name of a new one gives way.
 """
 
 from __future__ import annotations
@@ -25,22 +26,28 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_strings, materialise, ngram_hashes, split_words, table, text_slices
+from .common import hash_strings, materialise, ngram_hashes, split_words, table
+from .slices import bucket_edges, gathered, one_by_one, press, press_keys, rows_of, sliced, unpress, unpress_keys
 
 WINDOW = 20
 STAGE_WINDOW = 40
 ANCHORS_A_BUCKET = 1_000_000
 NO_ID = 2**63 - 1
+SPARE_BITS = 14  # of a window's hash, beyond twice what it takes to number the corpus's bytes
 SLICE = 8 << 20
+NEW = ("n_words", "n_removed", "kept")
 
 # Perfect difference sets, modulus -> cover.
 COVERS = {1: (0,), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 6, 15, 22, 26, 45, 55)}
 
+SENT_ANCHORS = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
+SENT_WINDOWS = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), *((c, pa.binary()) for c in ("keys", "extra", "id", "row", "start"))])
+
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
     """(V, cover, L): the largest modulus that leaves anchors of a third of the window, and 8 words, at least."""
@@ -48,17 +55,6 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
     return v, COVERS[v], window - v + 1
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays of one length, as differences, compressed."""
-    parts = [np.diff(a.astype(np.int64), prepend=np.int64(0)) for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([np.array([len(arrays[0])], np.int64), *parts]).astype("<i8").tobytes())
-
-
-def _unpack(data: bytes, n: int) -> list[np.ndarray]:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
-    return [np.cumsum(p) for p in flat[1:].reshape(n, int(flat[0]))]
-
-
 class Places:
     """The words of a slice of texts: their hashes, and each text's bounds."""
 
@@ -66,7 +62,7 @@ class Places:
         self.codes, self.bounds, self.words = split_words(texts, lower=False)
         self.h = hash_strings(self.words)[self.codes]
         self.size = np.diff(self.bounds)
-        self.owner = np.repeat(np.arange(len(self.size)), self.size)
+        self.owner = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
 
     def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, hashes) of the anchors, in order."""
@@ -78,195 +74,159 @@ class Places:
         at = np.flatnonzero(marked[rel % v] & (size >= window) & (rel + length <= size))
         return at, ngram_hashes(self.h, length)[at] if len(at) else np.zeros(0, np.uint64)
 
-
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def by_bucket(owner: np.ndarray, h: np.ndarray, buckets: int):
-    """For each bucket with hashes: (bucket, items in order of owner, owners, counts)."""
-    if not len(h):
-        return
-    b = bucket_of(h, buckets)
-    order = np.argsort(b.astype(np.int32), kind="stable")
-    edges = np.flatnonzero(np.diff(b[order], prepend=-1))
-    for a, z in zip(edges, [*edges[1:], len(b)], strict=True):
-        items = order[a:z]
-        own = owner[items]
-        first = np.flatnonzero(np.diff(own, prepend=-1))
-        yield int(b[items[0]]), items, own[first], np.diff(np.append(first, len(own)))
-
-
-def keyed(docs: DataFrame, key: str) -> DataFrame:
-    """docs with __row, which no two rows share, and __id for their order. Ids that repeat or are null cost one copy of the table, which fixes the rows' numbers."""
-    ids = docs.select(F.col(key).cast("long").alias("id"))
-    odd = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL")
-    docs = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
-    if odd.isEmpty():
-        return docs.withColumn("__row", F.col("__id"))
-    return materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
-
-
-def squeezed(docs: DataFrame, text: str) -> DataFrame:
-    """docs with text as compressed bytes: what a join moves."""
-    fields = [f if f.name != text else T.StructField(text, T.BinaryType()) for f in docs.schema]
-    at = docs.columns.index(text)
-
-    def run(batches):
-        press = zstandard.ZstdCompressor(level=3, write_content_size=True)
-        for batch in batches:
-            columns = list(batch.columns)
-            columns[at] = pa.array([press.compress(t.as_buffer()) if t.is_valid else None for t in columns[at]], pa.binary())
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
-
-    return docs.mapInArrow(run, T.StructType(fields))
-
-
-def unsqueezed(batches, column: str):
-    """Slices of batches with the column's texts as they were."""
-    press = zstandard.ZstdDecompressor()
-    for whole in batches:
-        at = whole.schema.names.index(column)
-        for batch in text_slices(whole, column, SLICE // 4):
-            columns = list(batch.columns)
-            columns[at] = pa.array([press.decompress(t.as_buffer()) if t.is_valid else None for t in columns[at]], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=whole.schema.names)
-
-
-def later_starts(docs: DataFrame, text: str, window: int) -> DataFrame:
-    """(__row, starts): for rows of keyed() docs, the packed starts of windows that also start earlier."""
+    def windows(self, window: int, anchors: np.ndarray) -> np.ndarray:
+        """Starts of the windows that hold one of these anchors (places) at an offset below the cover's modulus."""
+        n = len(self.h) - window + 1
+        if n <= 0 or not len(anchors):
+            return np.zeros(0, np.int64)
+        flag = np.zeros(len(self.h) + 1, np.int32)
+        flag[anchors] = 1
+        run = np.concatenate([[0], np.cumsum(flag)])
+        ends = np.minimum(np.arange(n) + cover_for(window)[0], len(flag))
+        return np.flatnonzero((run[ends] > run[:n]) & (self.owner[:n] == self.owner[window - 1 :]))
+
+
+class Windows:
+    """The windows of a slice (row: data, and as `anchors` the answers to its anchors) that hold a repeated anchor: equal ones together, the earliest first."""
+
+    def __init__(self, row: dict, window: int, buckets: int, hash_bits: int):
+        self.docs = rows_of(row["data"].as_buffer())
+        self.places = places = Places(self.docs.column("text"))
+        at, h = places.anchors(window)
+        keys, which = np.unique(h, return_inverse=True)
+        many, found = np.zeros(len(keys), bool), {a["bucket"]: a["flags"] for a in row["anchors"].as_py() or ()}
+        for b, a, z in bucket_edges(keys, buckets):
+            if b in found:
+                many[a:z] = flags_of(found[b], z - a)
+        start = places.windows(window, at[many[which]])
+        full = ngram_hashes(places.h, window)[start] if len(start) else np.zeros(0, np.uint64)
+        extra = (ngram_hashes(~places.h, window)[start] >> np.uint64(32)).astype("<u4") if len(start) else np.zeros(0, "<u4")
+        extra >>= np.uint32(min(31, 96 - hash_bits))
+        self.ident, own = np.asarray(self.docs.column("id")), places.owner[start]
+        self.repeated_ids = len(np.unique(self.ident)) < len(self.ident)
+        order = np.lexsort((start, own, self.ident[own], extra, full))
+        self.start, self.full, self.extra, self.own = start[order], full[order], extra[order], own[order]
+        self.new = np.ones(len(order), bool)
+        self.new[1:] = (np.diff(self.full) != 0) | (np.diff(self.extra) != 0)
+        self.first = np.flatnonzero(self.new)
+        self.edges = bucket_edges(self.full[self.first], 4 * buckets)  # every place of a text may start a window, a part of them holds anchors
+
+    def later(self, answers: list[dict]) -> np.ndarray:
+        """Places at which windows start that also start earlier."""
+        found = {a["bucket"]: a["flags"] for a in answers}
+        earliest = np.concatenate([flags_of(found[b], z - a) for b, a, z in self.edges]) if self.edges else np.zeros(0, bool)
+        return self.start[~(self.new & earliest[np.cumsum(self.new) - 1])]
+
+
+def repeated(hashes: list[np.ndarray], twice: list[np.ndarray]) -> list[np.ndarray]:
+    """For each slice's distinct hashes, with flags of those that it holds more than once: which occur more than once anywhere."""
+    every, at, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    many = (n > 1)[at] | (np.bincount(at, np.concatenate(twice), len(every)) > 0)[at]
+    return np.split(many, np.cumsum([len(h) for h in hashes])[:-1])
+
+
+def first_here(keys: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """For each slice's windows (hash, rest of the hash, id, slice, row, start): whether the window's earliest start is that one."""
+    h, extra, ident, piece, row, start = (np.concatenate([k[i] for k in keys]) for i in range(6))
+    order = np.lexsort((start, row, piece, ident, extra, h))
+    first = np.ones(len(h), bool)
+    first[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (extra[order[1:]] != extra[order[:-1]])
+    return np.split(first, np.cumsum([len(k[0]) for k in keys])[:-1])
+
+
+def bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def flags_of(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+
+def earliest(slices: DataFrame, window: int) -> tuple[DataFrame, int, int]:
+    """(slice, anchors, answers) of slices with anchors that occur more than once: which of its anchors do, and which of its windows start nowhere earlier. Also the buckets of the anchors, and the bits of a window's hash."""
     v, cover, _ = cover_for(window)
-    docs = docs.select("__row", "__id", F.col(text).alias("__text"))
-    size = docs.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    size = slices.agg(F.sum("size")).first()[0] or 0
     buckets = max(12, math.ceil(size / 6 * len(cover) / v / ANCHORS_A_BUCKET))
+    hash_bits = min(96, max(64, 2 * size.bit_length() + SPARE_BITS))
 
     def send_anchors(batches):
-        for whole in batches:
-            for batch in text_slices(whole, "__text", SLICE):
-                rows = np.asarray(batch.column("__row"))
-                places = Places(batch.column("__text"))
-                at, h = places.anchors(window)
-                out = [(b, _pack(rows[own], counts), h[items].tobytes()) for b, items, own, counts in by_bucket(places.owner[at], h, buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["bucket", "head", "hashes"])
-
-    def repeated(group: pa.Table) -> pa.Table:
-        bucket = group["bucket"][0].as_py()
-        hashes = [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()]
-        every = np.sort(np.concatenate(hashes))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        del every
-        rows, bits = [], []
-        for head, h in zip(group["head"].to_pylist(), hashes, strict=True):
-            if not len(twice):
-                break
-            at = np.minimum(np.searchsorted(twice, h), len(twice) - 1)
-            hit = twice[at] == h
-            if not hit.any():
-                continue
-            own, counts = _unpack(head, 2)
-            ends = np.cumsum(counts)
-            starts = ends - counts
-            for i in np.flatnonzero(np.add.reduceat(hit.astype(np.int64), starts)):
-                rows.append(int(own[i]))
-                bits.append(np.packbits(hit[starts[i] : ends[i]]).tobytes())
-        return pa.table({"row": pa.array(rows, pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "bits": pa.array(bits, pa.binary())})
-
-    sent = docs.mapInArrow(send_anchors, "bucket int, head binary, hashes binary")
-    found = sent.groupBy("bucket").applyInArrow(repeated, "row long, bucket int, bits binary")
-    found = found.groupBy("row").agg(F.collect_list(F.struct("bucket", "bits")).alias("__found"))  # one entry per bucket at most
-    held = squeezed(docs, "__text").join(found.withColumnRenamed("row", "__row"), "__row").select("__row", "__id", "__text", "__found")
+        for row in one_by_one(batches):
+            _, h = Places(rows_of(row["data"].as_buffer()).column("text")).anchors(window)
+            keys, n = np.unique(h, return_counts=True)
+            out = [(b, row["slice"].as_py(), press_keys(keys[a:z]), bits(n[a:z] > 1)) for b, a, z in bucket_edges(keys, buckets)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "slice", "keys", "twice"), o, strict=True)) for o in out], SENT_ANCHORS)
+
+    def meet_anchors(group: pa.Table) -> pa.Table:
+        hashes = [unpress_keys(x) for x in group["keys"].to_pylist()]
+        twice = [flags_of(x, len(h)) for x, h in zip(group["twice"].to_pylist(), hashes, strict=True)]
+        some = [(s, bits(m)) for s, m in zip(group["slice"].to_pylist(), repeated(hashes, twice), strict=True) if m.any()]
+        return pa.table({"slice": pa.array([s for s, _ in some], pa.int64()), "bucket": pa.array([group["bucket"][0].as_py()] * len(some), pa.int32()), "flags": pa.array([m for _, m in some], pa.binary())})
+
+    sent = slices.select("slice", "data").mapInArrow(send_anchors, "bucket int, slice long, keys binary, twice binary")
+    found = sent.groupBy("bucket").applyInArrow(meet_anchors, "slice long, bucket int, flags binary")
+
+    found = materialise(found, "none")
 
     def send_windows(batches):
-        for batch in unsqueezed(batches, "__text"):
-            if batch.num_rows:
-                rows, ids = np.asarray(batch.column("__row")), np.asarray(batch.column("__id"))
-                places = Places(batch.column("__text"))
-                at, h = places.anchors(window)
-                group = places.owner[at] * buckets + bucket_of(h, buckets)
-                order = np.argsort(group, kind="stable")
-                group = group[order]
-                flag = np.zeros(len(places.h) + 1, np.int64)
-                entries = batch.column("__found")
-                counts = np.diff(np.asarray(entries.offsets))
-                owner = np.repeat(np.arange(batch.num_rows), counts)
-                flat = entries.flatten()
-                wanted = owner * buckets + np.asarray(flat.field("bucket")).astype(np.int64)
-                low, high = np.searchsorted(group, wanted), np.searchsorted(group, wanted, side="right")
-                for a, z, bits in zip(low, high, flat.field("bits").to_pylist(), strict=True):
-                    hit = np.unpackbits(np.frombuffer(bits, np.uint8), count=z - a).astype(bool)
-                    flag[at[order[a:z][hit]]] = 1
-                run = np.concatenate([[0], np.cumsum(flag)])
-                n = len(places.h) - window + 1
-                if n > 0:
-                    ends = np.minimum(np.arange(n) + v, len(flag))
-                    start = np.flatnonzero((run[ends] > run[:n]) & (places.owner[:n] == places.owner[window - 1 :]))
-                else:
-                    start = np.zeros(0, np.int64)
-                full = ngram_hashes(places.h, window)[start] if len(start) else np.zeros(0, np.uint64)
-                extra = (ngram_hashes(~places.h, window)[start] >> np.uint64(32)).astype(np.uint32) if len(start) else np.zeros(0, np.uint32)
-                own = places.owner[start]
-                rel = start - places.bounds[own]
-                out = [(b, _pack(rows[who], ids[who], n), _pack(rel[items]), full[items].tobytes(), extra[items].tobytes()) for b, items, who, n in by_bucket(own, full, buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.binary()) for k in range(1, 5))], names=["bucket", "head", "starts", "hashes", "extra"])
-
-    def later(group: pa.Table) -> pa.Table:
-        heads = [_unpack(x, 3) for x in group["head"].to_pylist()]
-        row, ident, count = (np.concatenate([h[k] for h in heads]) for k in range(3))
-        start = np.concatenate([_unpack(x, 1)[0] for x in group["starts"].to_pylist()])
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()])
-        extra = np.concatenate([np.frombuffer(x, np.uint32) for x in group["extra"].to_pylist()])
-        rank = np.empty(len(row), np.int64)
-        rank[np.lexsort((row, ident))] = np.arange(len(row))
-        owner = np.repeat(np.arange(len(row)), count)
-        order = np.lexsort((rank[owner] << 32 | start, extra, h))
-        same = np.zeros(len(h), bool)
-        same[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (extra[order[1:]] == extra[order[:-1]])
-        ends = np.cumsum(count)
-        starts = ends - count
-        some = np.flatnonzero(np.add.reduceat(same.astype(np.int64), starts)) if len(count) else []
-        packed = [_pack(start[starts[i] : ends[i]][same[starts[i] : ends[i]]]) for i in some]
-        return pa.table({"row": pa.array(row[some], pa.int64()), "starts": pa.array(packed, pa.binary())})
-
-    windows = held.mapInArrow(send_windows, "bucket int, head binary, starts binary, hashes binary, extra binary")
-    gone = windows.groupBy("bucket").applyInArrow(later, "row long, starts binary")
-    return gone.groupBy(F.col("row").alias("__row")).agg(F.collect_list("starts").alias("__starts"))  # one entry per bucket at most
+        for row in one_by_one(batches):
+            w = Windows(row, window, buckets, hash_bits)
+            if not len(w.start):
+                continue
+            number, out = row["slice"].as_py(), []
+            for b, a, z in w.edges:
+                f = w.first[a:z]
+                out.append({"bucket": b, "slice": number, "keys": press_keys(w.full[f]), "extra": press(w.extra[f]), "id": press(w.ident[w.own[f]]), "row": press(w.own[f]) if w.repeated_ids else b"", "start": press((w.start[f] - w.places.bounds[w.own[f]]).astype("<u4"))})
+            yield pa.RecordBatch.from_pylist(out, SENT_WINDOWS)
+
+    def meet_windows(group: pa.Table) -> pa.Table:
+        keys = []
+        for r in group.to_pylist():
+            h = unpress_keys(r["keys"])
+            keys.append((h, unpress(r["extra"], "<u4"), unpress(r["id"], np.int64), np.full(len(h), r["slice"]), unpress(r["row"], np.int32) if r["row"] else np.zeros(len(h), np.int32), unpress(r["start"], "<u4")))
+        return pa.table({"slice": group["slice"], "bucket": group["bucket"], "flags": pa.array([bits(f) for f in first_here(keys)], pa.binary())})
+
+    held = slices.select("slice", "data").join(gathered(found, "flags"), "slice").withColumnRenamed("answers", "anchors")
+    windows = held.mapInArrow(send_windows, "bucket int, slice long, keys binary, extra binary, id binary, row binary, start binary")
+    firsts = windows.groupBy("bucket").applyInArrow(meet_windows, "slice long, bucket int, flags binary")
+    both = gathered(found, "flags").withColumnRenamed("answers", "anchors").join(gathered(firsts, "flags"), "slice")
+    return both, buckets, hash_bits
 
 
 def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep: list[str] | None = None, as_is: bool = False) -> DataFrame:
     """The columns `keep` (all of docs without the text, if None), with n_words, n_removed and kept: the words that stay, joined by one space (with as_is, the text as it is if it loses nothing)."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    rows = keyed(docs, key)
-    starts = later_starts(rows, text, window)
-    joined = squeezed(rows.select("__row", *keep, F.col(text).alias("__text")), "__text").join(starts, "__row", "left").select(*keep, "__text", "__starts")
+    keep = [c for c in (docs.columns if keep is None else keep) if (c != text or keep is not None) and c.lower() not in NEW]
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(True))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("string").alias("text"), kept.alias("keep"))
+    slices = sliced(rows, "text", SLICE)
+    answers, buckets, hash_bits = earliest(slices, window)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def drop(batches):
-        for batch in unsqueezed(batches, "__text"):
-            if batch.num_rows:
-                codes, bounds, words = split_words(batch.column("__text"), lower=False)
-                words = np.array(words.to_pylist(), object)
-                whole_texts = batch.column("__text")
-                texts, removed = [], []
-                for i, packed in enumerate(batch.column("__starts").to_pylist()):
-                    own = codes[bounds[i] : bounds[i + 1]]
-                    if packed:
-                        edge = np.zeros(len(own) + 1, np.int64)
-                        for p in packed:
-                            s = _unpack(p, 1)[0]
-                            edge[s] += 1
-                            edge[s + window] -= 1
-                        own = own[np.cumsum(edge)[:-1] == 0]
-                    removed.append(int(bounds[i + 1] - bounds[i]) - len(own))
-                    texts.append(" ".join(words[own]) if removed[-1] or not as_is else whole_texts[i].as_py())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=[f.name for f in schema])
-
-    return joined.mapInArrow(drop, schema)
+        for row in one_by_one(batches):
+            if row["answers"].is_valid:
+                w = Windows(row, window, buckets, hash_bits)
+                own, codes, bounds, words = w.docs, w.places.codes, w.places.bounds, w.places.words
+                start, n = w.later(row["answers"].as_py()), len(codes) + 1
+                stays = np.cumsum(np.bincount(start, minlength=n) - np.bincount(start + window, minlength=n))[:-1] == 0
+            else:
+                own = rows_of(row["data"].as_buffer())
+                codes, bounds, words = split_words(own.column("text"), lower=False)
+                stays = np.ones(len(codes), bool)
+            left = np.concatenate([[0], np.cumsum(stays)])[bounds]
+            removed = np.diff(bounds) - np.diff(left)
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), words.take(pa.array(codes[stays]))), " ")
+            if as_is:
+                texts = pc.if_else(pa.array(removed == 0), own.column("text"), texts)
+            columns = own.column("keep").flatten()[: len(keep)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(removed), texts], names=[f.name for f in schema])
+
+    return slices.select("slice", "data").join(answers, "slice", "left").select("data", "anchors", "answers").mapInArrow(drop, schema)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars", window: int = STAGE_WINDOW) -> DataFrame:
     """docs with later copies of passages taken out of their texts. Texts that lose nothing stay as they are; documents that lose everything go."""
     rest = F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("__doc")
-    out = strip(docs.select(F.col(key).alias("__key"), F.col(text).alias("__whole"), rest), "__key", "__whole", window, ["__doc"], as_is=True)
+    out = strip(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), rest), "__key", "__text", window, ["__doc"], as_is=True)
     out = out.where("n_removed < n_words OR n_words = 0")
     size = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[chars].dataType)).otherwise(F.col(f"__doc.{chars}")) if chars in docs.columns else None
     return out.select(*[F.col("kept").alias(c) if c == text else size.alias(c) if c == chars else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
