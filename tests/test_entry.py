@@ -20,6 +20,25 @@ def test_without_the_training_data_operators(monkeypatch):
     assert set(__spark_entry__.queries()) == set(bindings.queries()) and not any(n.startswith("op") for n in __spark_entry__.oracle_sql())
 
 
+def test_without_what_the_training_data_operators_need(monkeypatch):
+    import builtins
+    import sys
+
+    real = builtins.__import__
+
+    def without(name, *a, **b):
+        if name == "zstandard":
+            raise ImportError("no zstandard")
+        return real(name, *a, **b)
+
+    for name in [m for m in sys.modules if m.startswith("sigweave.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setattr(builtins, "__import__", without)
+    if importlib.util.find_spec("sigweave.llm"):
+        with pytest.warns(UserWarning, match="no zstandard"):
+            assert set(__spark_entry__.queries()) == set(bindings.queries())
+
+
 def canonical(rows):
     return sorted(tuple("null" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
 
