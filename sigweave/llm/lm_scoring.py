@@ -5,16 +5,19 @@ depend on how often the context occurs (one set per power of two, and per longes
 expectation-maximisation over held-out counts: a part of the training documents is deleted from the counts, and
 their tokens are predicted from what is left. The final model counts all training documents.
 
-No table of counts is sent to every task. Texts become blocks of about BLOCK_TOKENS words, written once. A block
-sends each distinct n-gram hash once, with its counts in the block, to buckets by hash; a bucket adds up what the
-blocks sent and returns to each block the totals of its own n-grams. So a frequent n-gram costs one number per block,
+No table of counts is sent to every task. Texts are written once, as slices of about BLOCK_TOKENS words (see slices). A slice
+sends each distinct n-gram hash once, with its count in the slice, to buckets by hash; a bucket adds up what the
+slices sent and returns to each slice the totals of its own n-grams. So a frequent n-gram costs one number per slice,
 buckets are even whatever the words' frequencies, and all counts cover the whole corpus. For EM the held-out tokens
-become a histogram of (context bucket, estimates in half octaves, with each cell's mean estimates), whose size is
-bounded by its grid, not by the corpus.
+become a histogram of (context bucket, estimates in octaves, with each cell's mean estimates), whose size is
+bounded by its grid, not by the corpus. A task holds one slice at a time and, of it, one order's n-grams.
 
-Defined results: null text is an empty one (one end token); without training documents every token has the uniform
-estimate of an empty vocabulary; a null id folds as an empty text and is null in results; repeated rows are counted
-and scored each; an empty table gives no rows; other columns play no part.
+Words are told apart by 64 bits of hash, longer n-grams by KEY_SPARE bits more than it takes to number the corpus's
+bytes, so that one in some millions shares its counts with another.
+
+Defined results: null text is an empty one (one end token); texts of any length are scored whole; without training
+documents every token has the uniform estimate of an empty vocabulary; a null id folds as an empty text and is null in
+results; repeated rows are counted and scored each; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,92 +26,65 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_strings, materialise, mix64, split_words, table, text_slices
+from .common import hash_strings, materialise, mix64, split_words, table
+from .slices import bucket_edges, gathered, one_by_one, press, press_keys, rows_of, sliced, unpress, unpress_keys
 
-ORDER = 2
+ORDER = 3
 DELETED = 8  # one of so many parts of the training documents is held out for EM
 BLOCK_TOKENS = 1_000_000
 CHUNK = 100_000  # tokens whose estimates are held at once
 NGRAMS_A_BUCKET = 1_500_000
+KEY_SPARE = 20
 ROUNDS = 40
 TOP = 24  # context buckets per order
+LEVELS = 32  # octaves of estimates in the histogram; what is below the last counts there
 _BEGIN, _END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def press(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
-
-
-def unpress(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
-def press_codes(codes: np.ndarray) -> bytes:
-    """Whole numbers below 2**32, byte plane by byte plane."""
-    return press(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-
-
-def unpress_codes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(unpress(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
-def press_keys(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences of as few bytes as the largest needs."""
-    gaps = np.diff(keys)
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([width]) + keys[:1].astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpress_keys(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    width, first = int(raw[0]), raw[1:9]
-    gaps = np.zeros(((len(raw) - 9) // width + 1, 8), np.uint8)
-    gaps[0] = first
-    gaps[1:, :width] = raw[9:].reshape(-1, width)
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
-
-
 class Block:
     """Tokens of some documents, as padded sequences: order - 1 begin marks, the words, an end mark."""
 
-    def __init__(self, size: np.ndarray, vocabulary: np.ndarray, codes: np.ndarray, order: int):
-        self.order, pad = order, order - 1
+    def __init__(self, texts: pa.Array, order: int, key_bits: int = 64):
+        codes, bounds, words = split_words(texts, lower=True)
+        size = np.diff(bounds)
+        self.order, self.key_bits, pad = order, key_bits, order - 1
         self.tokens = size + 1
         full = self.tokens + pad
         starts = np.cumsum(full) - full
         self.h = np.full(int(full.sum()), _BEGIN, np.uint64)
-        owner = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
-        self.h[starts[owner] + pad + place] = vocabulary[codes]
+        # word i of text d stands pad begin marks and d * (pad + 1) marks of the texts before later
+        self.h[np.arange(len(codes)) + np.repeat(np.arange(len(size)) * (pad + 1) + pad, size)] = hash_strings(words)[codes]
         self.h[starts + full - 1] = _END
         real = np.ones(len(self.h), bool)
         for p in range(pad):
             real[starts + p] = False
         self.at = np.flatnonzero(real)
-        self.owner = np.repeat(np.arange(len(size)), self.tokens)
-        self.place = np.arange(len(self.at)) - np.repeat(np.cumsum(self.tokens) - self.tokens, self.tokens)
-        self.keys = {n: self._keys(n) for n in range(1, order + 1)}
+        self.first = np.cumsum(self.tokens) - self.tokens  # each text's first token
 
-    def _keys(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(distinct hashes in order, number of each token's n-gram among them); an n-gram ends at its token."""
         g = self.h[self.at - (n - 1)]
         for i in range(n - 2, -1, -1):
-            g = g * _MUL + self.h[self.at - i]
-        return np.unique(mix64(g + np.uint64(n)), return_inverse=True)
-
-    def counts(self, totals: dict[int, np.ndarray], documents: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For n = 1 .. order: each token's n-gram count, and its context's (for n = 1: 0)."""
-        gram = [totals[n][self.keys[n][1]] for n in range(1, self.order + 1)]
-        context = [np.zeros(len(self.at), np.int64)]
+            g *= _MUL
+            g += self.h[self.at - i]
+        g = mix64(g + np.uint64(n))
+        if n > 1 and self.key_bits < 64:
+            g &= ~np.uint64((1 << 64 - self.key_bits) - 1)
+        return np.unique(g, return_inverse=True)
+
+    def counts(self, totals, documents: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For n = 1 .. order: each token's n-gram count, and its context's (for n = 1: 0). totals(n) are the counts of keys(n)."""
+        gram, context = [], [np.zeros(len(self.at), np.int64)]
+        for n in range(1, self.order + 1):
+            gram.append(totals(n)[self.keys(n)[1]])
         for n in range(2, self.order + 1):
             before = np.concatenate([[0], gram[n - 2][:-1]])
-            # at a text's first token the context is begin marks only, which stand once in each document
-            context.append(np.where(self.place == 0, documents, before))
+            before[self.first] = documents  # at a text's first token the context is begin marks only, which stand once in each document
+            context.append(before)
         return gram, context
 
 
@@ -148,153 +124,107 @@ def learn(cells: list[tuple[int, float, list[float]]], order: int, rounds: int =
     return em(np.repeat(pooled, len(weights), 0), bucket, len(weights), pooled)  # one token's worth of the pooled weights
 
 
-def blocks_of(docs: DataFrame, text: str, block_tokens: int, deleted) -> DataFrame:
-    """rows (__id, __crc, text) as blocks (block, deleted, ids, crcs, size, vocabulary, codes); documents for which deleted(crcs) is true have blocks of their own."""
-
-    def run(batches):
-        number = np.random.default_rng()  # block numbers are fixed by being written; results don't depend on them
-
-        def emit(parts, out):
-            ids, crcs, size, hashes = (np.concatenate([p[k] for p in parts]) if k else pa.concat_arrays([p[0] for p in parts]) for k in range(4))
-            vocabulary, codes = np.unique(hashes, return_inverse=True)
-            row = [pa.array([int(number.integers(2**62))]), pa.array([out]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([press(crcs.astype("<u4"))]), pa.array([press(size.astype("<i8"))]), pa.array([press_keys(vocabulary) if len(vocabulary) else b""]), pa.array([press_codes(codes)])]
-            return pa.RecordBatch.from_arrays(row, names=["block", "deleted", "ids", "crcs", "size", "vocabulary", "codes"])
-
-        parts, held = {True: [], False: []}, {True: 0, False: 0}
-        for whole in batches:
-            for batch in text_slices(whole, text):
-                role = deleted(np.asarray(batch.column("__crc")))
-                for out in (False, True):
-                    own = batch.filter(pa.array(role == out))
-                    if not own.num_rows:
-                        continue
-                    codes, bounds, words = split_words(own.column(text), lower=True)
-                    parts[out].append((own.column("__id"), np.asarray(own.column("__crc")), np.diff(bounds), hash_strings(words)[codes]))
-                    held[out] += len(codes) + own.num_rows
-                    if held[out] >= block_tokens:
-                        yield emit(parts[out], out)
-                        parts[out], held[out] = [], 0
-        for out in (False, True):
-            if parts[out]:
-                yield emit(parts[out], out)
-
-    return docs.mapInArrow(run, "block long, deleted boolean, ids array<long>, crcs binary, size binary, vocabulary binary, codes binary")
-
-
-def opened(row: dict, order: int) -> tuple[Block, np.ndarray]:
-    size, crcs = unpress(row["size"], "<i8"), unpress(row["crcs"], "<u4").astype(np.int64)
-    vocabulary = unpress_keys(row["vocabulary"]) if row["vocabulary"] else np.zeros(0, np.uint64)
-    return Block(size, vocabulary, unpress_codes(row["codes"]), order), crcs
-
-
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, order: int = ORDER, block_tokens: int = BLOCK_TOKENS, crc: Column | None = None) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document. crc32(key) mod modulus = held keeps a document from training."""
     crc = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) if crc is None else crc
-    docs = docs.select(F.col(key).cast("long").alias("__id"), crc.alias("__crc"), F.col(text).alias("__text"))
-    size = docs.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    buckets = max(12, math.ceil(size / 6 / NGRAMS_A_BUCKET))
+    docs = docs.select(F.col(key).cast("long").alias("id"), crc.alias("crc"), F.col(text).cast("string").alias("text"))
 
-    def roles(crcs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def roles(crcs):
         """(in training, deleted for EM) of each document."""
         train = crcs % modulus != held
-        return train, train & (crcs // modulus % DELETED == 0)
+        return train, train & (crcs % (modulus * DELETED) < modulus)
 
-    blocks = materialise(blocks_of(docs, "__text", block_tokens, lambda crcs: roles(crcs)[1]))
+    slices = sliced(docs, "text", 6 * block_tokens, lambda batch: roles(np.asarray(batch.column("crc")))[1])
+    size = slices.agg(F.sum("size")).first()[0] or 0
+    buckets, key_bits = max(12, math.ceil(size / 6 / NGRAMS_A_BUCKET)), min(64, KEY_SPARE + size.bit_length())
 
     def send(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                block, crcs = opened(row, order)
-                train, deleted = (r[block.owner] for r in roles(crcs))
-                for n in range(1, order + 1):
-                    keys, at = block.keys[n]
-                    seen, out = np.bincount(at[train], minlength=len(keys)), np.bincount(at[deleted], minlength=len(keys))
-                    b = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                    edges = np.append(np.flatnonzero(np.diff(b, prepend=-1)), len(b))
-                    rows = [(row["block"], n, int(b[a]), press_keys(keys[a:z]), press(np.concatenate([seen[a:z], out[a:z]]).astype("<u4"))) for a, z in zip(edges[:-1], edges[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "n", "bucket", "keys", "counts"])
+        for row in one_by_one(batches):
+            own = rows_of(row["data"].as_buffer())
+            block = Block(own.column("text"), order, key_bits)
+            train = np.repeat(roles(np.asarray(own.column("crc")))[0], block.tokens)
+            for n in range(1, order + 1):
+                keys, at = block.keys(n)
+                seen = np.bincount(at[train], minlength=len(keys)).astype("<u4")
+                rows = [{"slice": row["slice"].as_py(), "apart": row["apart"].as_py(), "n": n, "bucket": b, "keys": press_keys(_short(keys[a:z], n, key_bits)), "counts": press(seen[a:z])} for b, a, z in bucket_edges(keys, buckets)]
+                del keys, at, seen
+                yield pa.RecordBatch.from_pylist(rows, SENT)
 
     def add_up(group: pa.Table) -> pa.Table:
-        keys = [unpress_keys(x) for x in group["keys"].to_pylist()]
-        counts = [unpress(x, "<u4").reshape(2, -1) for x in group["counts"].to_pylist()]
+        keys = [unpress_keys(x) for x in group["keys"].to_pylist()]  # as they were shortened, which leaves their order
+        counts = [unpress(x, "<u4") for x in group["counts"].to_pylist()]
+        apart = group["apart"].to_pylist()
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = [np.bincount(at, np.concatenate([c[k] for c in counts]), len(every)).astype("<i8") for k in (0, 1)]
-        ends = np.cumsum([len(k) for k in keys])
-        back = [press(np.concatenate([t[at[e - len(k) : e]] for t in total])) for k, e in zip(keys, ends, strict=True)]
-        n = len(keys)
-        words = np.zeros(n, np.int64)
-        if group["n"][0].as_py() == 1:  # distinct words of the training documents, and of those that stay for EM
-            words[0] = int((total[0] > 0).sum())
-        kept = words.copy()
-        kept[0] = int((total[0] > total[1]).sum()) if words[0] else 0
-        return pa.table({"block": group["block"], "n": group["n"], "bucket": group["bucket"], "totals": back, "words": words, "kept_words": kept})
-
-    answers = materialise(blocks.drop("deleted", "ids").mapInArrow(send, "block long, n int, bucket int, keys binary, counts binary").groupBy("n", "bucket").applyInArrow(add_up, "block long, n int, bucket int, totals binary, words long, kept_words long"))
-    vocab = answers.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("kept_words"), F.lit(0))).first()
-
-    def count_roles(batches):
-        for batch in batches:
-            out = np.zeros(4, np.int64)
-            for sizes, crcs in zip(batch.column("size").to_pylist(), batch.column("crcs").to_pylist(), strict=True):
-                tokens = unpress(sizes, "<i8") + 1
-                train, deleted = roles(unpress(crcs, "<u4").astype(np.int64))
-                out += [tokens[train].sum(), tokens[deleted].sum(), train.sum(), deleted.sum()]
-            yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in out], names=list("abcd"))
-
-    sums = blocks.select("size", "crcs").mapInArrow(count_roles, "a long, b long, c long, d long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in "abcd"]).first()
-    tokens, documents, words = (int(sums[0]), int(sums[0] - sums[1])), (int(sums[2]), int(sums[2] - sums[3])), (int(vocab[0]), int(vocab[1]))
-    back = answers.select("block", "n", "bucket", "totals")
-
-    def with_answers(some: DataFrame, back: DataFrame) -> DataFrame:
-        return some.drop("deleted").join(back.groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias("answers")), "block")  # one entry per order and bucket
-
-
-    def answered(batch):
-        """(row, block, crcs, totals in training by order, totals deleted by order) of each block of a batch."""
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            block, crcs = opened(row, order)
-            parts = {n: [unpress(a["totals"], "<i8").reshape(2, -1) for a in sorted((a for a in row["answers"] if a["n"] == n), key=lambda a: a["bucket"])] for n in range(1, order + 1)}
-            yield row, block, crcs, *({n: np.concatenate([p[k] for p in parts[n]]) for n in parts} for k in (0, 1))
+        total = np.bincount(at, np.concatenate(counts), len(every)).astype("<i8")
+        held_out = np.bincount(at, np.concatenate([c if a else np.zeros_like(c) for c, a in zip(counts, apart, strict=True)]), len(every)).astype("<i8")
+        back, end = [], 0
+        for k, a in zip(keys, apart, strict=True):
+            own, end = at[end : end + len(k)], end + len(k)
+            back.append((press(total[own]), press(held_out[own]) if a else None))
+        sums = np.zeros((len(keys), 4), np.int64)  # in the group's first row: words and tokens of the training documents, and of those that stay for EM
+        if group["n"][0].as_py() == 1:
+            sums[0] = (total > 0).sum(), (total > held_out).sum(), total.sum(), (total - held_out).sum()
+        return pa.table({"slice": group["slice"], "apart": group["apart"], "n": group["n"], "bucket": group["bucket"], "totals": [b[0] for b in back], "deleted": pa.array([b[1] for b in back], pa.binary()), **{c: sums[:, i] for i, c in enumerate(SUMS)}})
+
+    sent = slices.select("slice", "apart", "data").mapInArrow(send, "slice long, apart boolean, n int, bucket int, keys binary, counts binary")
+    answers = materialise(sent.groupBy("n", "bucket").applyInArrow(add_up, f"slice long, apart boolean, n int, bucket int, totals binary, deleted binary, {', '.join(f'{c} long' for c in SUMS)}"), "none")
+    vocab = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in SUMS]).first()
+    train, deleted = roles(F.col("crc"))
+    texts = docs.agg(F.count_if(train), F.count_if(deleted)).first()
+    words, tokens, documents = (vocab[0], vocab[1]), (vocab[2], vocab[3]), (texts[0], texts[0] - texts[1])
+
+    def tokens_of(row: dict, rest: bool):
+        """(slice, block, chunks of (context bucket, estimates) of its tokens, 1-gram counts); rest leaves out the deleted documents."""
+        own = rows_of(row["data"].as_buffer())
+        block = Block(own.column("text"), order, key_bits)
+        entries = row["answers"].as_py()
+
+        def totals(n: int) -> np.ndarray:
+            parts = sorted((a["bucket"], a) for a in entries if a["n"] == n)
+            return np.concatenate([unpress(a["totals"], "<i8") - (unpress(a["deleted"], "<i8") if rest else 0) for _, a in parts])
+
+        gram, context = block.counts(totals, documents[rest])
+        chunks = (estimates([g[c : c + CHUNK] for g in gram], [x[c : c + CHUNK] for x in context], tokens[rest], words[rest]) for c in range(0, len(block.at), CHUNK))
+        return own, block, chunks, gram[0]
 
     def histogram(batches):
-        for batch in batches:
-            for _, block, _, total, deleted in answered(batch):
-                gram, context = block.counts({n: total[n] - deleted[n] for n in total}, documents[1])
-                for c in range(0, len(block.at), CHUNK):
-                    bucket, f = estimates([g[c : c + CHUNK] for g in gram], [x[c : c + CHUNK] for x in context], tokens[1], words[1])
-                    cell = bucket
-                    for n in range(1, order + 1):
-                        level = np.where(f[:, n] > 0, np.round(2 * np.log2(np.maximum(f[:, n], 1e-30))) + 201, 0).astype(np.int64)
-                        cell = cell * 256 + level
-                    cells, at = np.unique(cell, return_inverse=True)
-                    n_at = np.bincount(at, minlength=len(cells))
-                    means = [np.bincount(at, f[:, k], len(cells)) for k in range(order + 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n_at), pa.array(np.stack(means, 1).tolist(), pa.list_(pa.float64()))], names=["cell", "n", "f"])
-
-    left_out = blocks.where("deleted")
-    cells = with_answers(left_out, back.join(left_out.select("block"), "block", "left_semi")).mapInArrow(histogram, "cell long, n long, f array<double>").groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(F.col("f")[k]).alias(f"f{k}") for k in range(order + 1)]).collect()  # as many as the grid has cells at most
-    weights = learn([(r["cell"] >> (8 * order), r["n"], [r[f"f{k}"] / r["n"] for k in range(order + 1)]) for r in sorted(cells)], order)
+        for row in one_by_one(batches):
+            for bucket, f in tokens_of(row, True)[2]:
+                cell = bucket
+                for n in range(1, order + 1):
+                    level = np.where(f[:, n] > 0, np.maximum(1, LEVELS + np.rint(np.log2(np.maximum(f[:, n], 1e-30)))), 0).astype(np.int64)
+                    cell = cell * (LEVELS + 1) + level
+                cells, at = np.unique(cell, return_inverse=True)
+                means = [np.bincount(at, f[:, k], len(cells)) for k in range(order + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.bincount(at, minlength=len(cells))), *map(pa.array, means)], names=["cell", "n", *(f"f{k}" for k in range(order + 1))])
+
+    fields = [f"f{k}" for k in range(order + 1)]
+    asked = slices.where("apart").select("slice", "data").join(gathered(answers.where("apart"), "n", "totals", "deleted"), "slice")
+    cells = asked.mapInArrow(histogram, f"cell long, n long, {', '.join(f'{c} double' for c in fields)}").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", *fields)]).collect()  # as many as the grid has cells at most
+    weights = learn([(r["cell"] // (LEVELS + 1) ** order, r["n"], [r[c] / r["n"] for c in fields]) for r in sorted(cells)], order)
 
     def finish(batches):
-        for batch in batches:
-            for row, block, crcs, total, _ in answered(batch):
-                gram, context = block.counts(total, documents[0])
-                model = np.empty(len(block.at))
-                for c in range(0, len(model), CHUNK):
-                    bucket, f = estimates([g[c : c + CHUNK] for g in gram], [x[c : c + CHUNK] for x in context], tokens[0], words[0])
-                    model[c : c + CHUNK] = np.log10((weights[bucket] * f).sum(1))
-                del total
-                base = np.log10((gram[0] + 1) / (tokens[0] + words[0] + 1))
-                starts = np.cumsum(block.tokens) - block.tokens
-                per = [np.add.reduceat(v, starts) for v in ((gram[0] > 0).astype(np.int64), base, model)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], pa.int64()), pa.array(~roles(crcs)[0]), pa.array(block.tokens), pa.array(per[0]), pa.array(np.full(len(crcs), tokens[0])), pa.array(per[1]), pa.array(per[2])],
-                    names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return with_answers(blocks, back).mapInArrow(finish, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for row in one_by_one(batches):
+            own, block, chunks, known = tokens_of(row, False)
+            model = np.concatenate([np.log10((weights[bucket] * f).sum(1)) for bucket, f in chunks])
+            base = np.log10((known + 1) / (tokens[0] + words[0] + 1))
+            per = [np.add.reduceat(v, block.first) for v in ((known > 0).astype(np.int64), base, model)]
+            held_out = ~roles(np.asarray(own.column("crc")))[0]
+            yield pa.RecordBatch.from_arrays(
+                [own.column("id"), pa.array(held_out), pa.array(block.tokens), pa.array(per[0]), pa.array(np.full(own.num_rows, tokens[0])), pa.array(per[1]), pa.array(per[2])],
+                names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    asked = slices.select("slice", "data").join(gathered(answers, "n", "totals"), "slice").select("data", "answers")
+    return asked.mapInArrow(finish, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+SUMS = ("words", "kept_words", "tokens", "kept_tokens")
+SENT = pa.schema([("slice", pa.int64()), ("apart", pa.bool_()), ("n", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def _short(keys: np.ndarray, n: int, key_bits: int) -> np.ndarray:
+    return keys >> np.uint64(64 - key_bits) if n > 1 else keys
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,12 +95,3 @@ def test_whole_table(spark):
     assert [g[5] for g in got] == pytest.approx([w[5] for w in want])
     held = [g for g in got if g[1]]
     assert sum(g[6] for g in held) > sum(g[5] for g in held)  # the mixture predicts held-out texts better than the base
-
-
-def test_keys_and_codes_survive_packing():
-    rng = np.random.default_rng(0)
-    for n in (1, 2, 1000):
-        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-        assert (lm.unpress_keys(lm.press_keys(keys)) == keys).all()
-        codes = rng.integers(0, 2**31, n)
-        assert (lm.unpress_codes(lm.press_codes(codes)) == codes).all()
