@@ -272,14 +272,14 @@ def detect(libraries: DataFrame, apps: DataFrame, settings: Settings = Settings(
     """
     s = settings
     lib_rows, left = (keep(opened(classes, s.k)) for classes in (libraries, apps))
-    lib_sets = lib_rows.select(F.col("artifact").alias("library"), F.explode("hashes").alias("h")).distinct()
+    lib_sets = keep(lib_rows.select(F.col("artifact").alias("library"), F.explode("hashes").alias("h")).distinct())
     sizes = lib_rows.groupBy(F.col("artifact").alias("library")).agg(F.sum("weight").alias("size"))
     thresholds = keep(sizes.select("library", detection_threshold(F.col("size"), s.detection_formula).alias("threshold")))
     alive, parts = None, []
     for number in itertools.count(1):
         current = left.select(F.col("artifact").alias("app"), F.explode("hashes").alias("h")).distinct()
         pops = current.groupBy("app").agg((F.count_distinct(F.pmod("h", F.lit(ARTIFACT_PRIME))) / F.lit(float(ARTIFACT_PRIME))).alias("pop"))
-        scores = containment(lib_sets, current, "library", "app").join(pops, "app")
+        scores = containment(lib_sets, current, "library", "app", fixed=True).join(pops, "app")
         if alive is not None:
             scores = scores.join(alive, ["app", "library"], "left_semi")
         passed = keep(sketch_filter(scores, F.col("pop"), formula=s.sketch_formula))  # what fails here once is out for good

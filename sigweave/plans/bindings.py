@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigweave.functions import hashing, normalise
@@ -46,10 +46,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, "[ \n]+"), lambda w: w != "")
-
-
 # ---------------------------------------------------------------- inputs, and the same in SQL
 
 SQL_WORDS = "list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <> '')"
@@ -61,31 +57,28 @@ b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 3), lamb
 SQL_FOLD = "1"
 for _h in ("h", "h1", "h2", "h3", "h4"):
     SQL_FOLD = f"(({SQL_FOLD} * 31 + {_h}) % 4294967296)"
-SQL_BITS = f"""u AS (SELECT DISTINCT unnest({SQL_WORDS}) AS word FROM documents),
+SQL_HASHES = f"""u AS (SELECT DISTINCT unnest({SQL_WORDS}) AS word FROM documents),
 hw AS (SELECT word, {SQL_HASH.format("word")} AS h FROM u),
 p AS (SELECT doc_id, source, lang, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, source, lang, {SQL_WORDS} AS ws FROM documents)),
 s AS (SELECT doc_id, source, lang, i, h, lead(h, 1) OVER v AS h1, lead(h, 2) OVER v AS h2, lead(h, 3) OVER v AS h3, lead(h, 4) OVER v AS h4 FROM p JOIN hw USING (word) WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
-h5 AS (SELECT source, lang, {SQL_FOLD} AS h FROM s WHERE h4 IS NOT NULL),
+h5 AS (SELECT source, lang, {SQL_FOLD} AS h FROM s WHERE h4 IS NOT NULL)"""
+SQL_BITS = f"""{SQL_HASHES},
 bits AS (SELECT DISTINCT source, lang, (h % {PRIME})::INT AS bit FROM h5)"""
 
 
-def document_grams(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, source, lang, gram), distinct 5-word grams of whole documents."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", words(F.col("text")).alias("ws"))
-    grams = F.array_distinct(F.transform(kgrams.windows_of(F.col("ws"), K), lambda g: F.array_join(g, " ")))
-    return docs.select("doc_id", "source", "lang", F.explode(grams).alias("gram"))
+def document_grams(spark: SparkSession, sf: str, hashed: bool = False) -> DataFrame:
+    """(doc_id, source, lang, gram or h), distinct 5-word grams of whole documents, or their hashes."""
+    return kgrams.text_kgrams(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "text", K, hashed)
 
 
 def item_grams(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "benchmark").select("item_id", words(F.col("text")).alias("ws"))
-    return items.select("item_id", F.explode(F.array_distinct(F.transform(kgrams.windows_of(F.col("ws"), K), lambda g: F.array_join(g, " ")))).alias("gram"))
+    """(item_id, h)."""
+    return kgrams.text_kgrams(table(spark, sf, "benchmark").select("item_id", "text"), "text", K, hashed=True)
 
 
-def document_bits(spark: SparkSession, sf: str) -> DataFrame:
-    """(source, lang, bit) of the documents' hashed 5-grams. Words are hashed once each in their document, runs by folding the hashes."""
-    docs = table(spark, sf, "documents").select("source", "lang", F.transform(words(F.col("text")), hashing.text_hash).alias("hs"))
-    grams = F.transform(kgrams.windows_of(F.col("hs"), K), lambda g: sketches.bit(hashing.sequence_hash(g), PRIME))
-    return docs.select("source", "lang", F.explode(F.array_distinct(grams)).alias("bit")).distinct()
+def document_bits(spark: SparkSession, sf: str, columns: tuple[str, ...] = ("source",), prime: int = PRIME) -> DataFrame:
+    """(columns, bit) of the documents' hashed 5-grams."""
+    return sketches.text_bits(table(spark, sf, "documents").select(*columns, "text"), "text", K, prime)
 
 
 # ---------------------------------------------------------------- k-grams
@@ -153,7 +146,7 @@ def kgram_hash(spark, sf):
 
 @query(f"WITH {SQL_BITS} SELECT DISTINCT source, bit FROM bits")
 def bit_bucket(spark, sf):
-    return document_bits(spark, sf).select("source", "bit").distinct()
+    return document_bits(spark, sf)
 
 
 @query(f"WITH {SQL_BITS} SELECT source, count(DISTINCT bit) AS bits_set, round(count(DISTINCT bit) / {PRIME}.0::DOUBLE, 6) AS share FROM bits GROUP BY source")
@@ -171,7 +164,7 @@ def prime_index(spark, sf):
 @query(f"""WITH {SQL_BITS}, v AS (SELECT source, count(DISTINCT lang) AS k FROM bits GROUP BY source)
 SELECT source, bit FROM bits JOIN v USING (source) GROUP BY source, bit, k HAVING count(DISTINCT lang) = k""")
 def stats_bit_and(spark, sf):
-    return sketches.common_bits(document_bits(spark, sf), "source", "lang")
+    return sketches.common_bits(document_bits(spark, sf, ("source", "lang")), "source", "lang")
 
 
 @query(f"""WITH {SQL_BITS}, f AS (SELECT bit, count(DISTINCT source) AS f FROM bits GROUP BY bit), e AS (SELECT unnest(range(1, f + 1)) AS freq FROM f), a AS (SELECT freq, count(*) AS bits FROM e GROUP BY freq)
@@ -185,8 +178,7 @@ c AS (SELECT item_id, source, count(*) AS shared FROM b JOIN sg USING (gram) GRO
 
 
 def contained(spark, sf) -> DataFrame:
-    left = item_grams(spark, sf).withColumnRenamed("gram", "h")
-    return sketches.containment(left, document_grams(spark, sf).select("source", F.col("gram").alias("h")), "item_id", "source")
+    return sketches.containment(item_grams(spark, sf), document_grams(spark, sf, hashed=True).select("source", "h"), "item_id", "source")
 
 
 @query(f"WITH {SQL_CONTAINED} SELECT item_id, source, shared, size, round(score, 6) AS score FROM r")
@@ -194,9 +186,13 @@ def containment(spark, sf):
     return contained(spark, sf).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {SQL_CONTAINED} SELECT item_id, source, round(score, 6) AS score FROM r WHERE score >= greatest(0.1 + 0.01, 0.9 - 0.2 * log10(greatest(1, size)))")
+@query(f"""WITH {SQL_CONTAINED}, {SQL_HASHES}, pops AS (SELECT source, count(DISTINCT h % {sketches.ARTIFACT_PRIME}) / {sketches.ARTIFACT_PRIME}::DOUBLE AS pop FROM h5 GROUP BY source)
+SELECT item_id, r.source, round(score, 6) AS score FROM r JOIN pops ON pops.source IS NOT DISTINCT FROM r.source WHERE score >= greatest(0.1 + pop, 0.9 - 0.2 * log10(greatest(1, size)))""")
 def sketch_filter(spark, sf):
-    return selection.sketch_filter(contained(spark, sf), F.lit(0.01)).select("item_id", "source", F.round("score", 6).alias("score"))
+    """Items that a source may hold; the threshold grows with the part of the whole sketch that the source's own bits fill."""
+    pops = sketches.population(document_bits(spark, sf, prime=sketches.ARTIFACT_PRIME), "source", sketches.ARTIFACT_PRIME).select(F.col("source").alias("of"), F.col("share").alias("pop"))
+    scores = contained(spark, sf)
+    return selection.sketch_filter(scores.join(pops, scores["source"].eqNullSafe(pops["of"])), F.col("pop")).select("item_id", "source", F.round("score", 6).alias("score"))
 
 
 @query("SELECT c_mktsegment, count(*) AS size, round(greatest(0.1, 0.7 - 0.15 * log10(greatest(1, count(*)))), 6) AS threshold FROM customer GROUP BY c_mktsegment")
@@ -233,7 +229,7 @@ def dice_customers(spark, sf):
 @query(f"""WITH {SQL_DOC_GRAMS}, n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT a, b, shared, round(2 * shared / (m.n + k.n)::DOUBLE, 6) AS dice FROM x JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b WHERE 2 * shared / (m.n + k.n)::DOUBLE > 0.1""")
 def dice_documents(spark, sf):
-    rows = document_grams(spark, sf).select("doc_id", F.xxhash64("gram").alias("h"))
+    rows = document_grams(spark, sf, hashed=True).select("doc_id", "h")
     return similarity.dice_self_join(rows, "doc_id", least=0.1).withColumn("dice", F.round("dice", 6))
 
 
@@ -243,7 +239,7 @@ SELECT l, a, round(shared / n::DOUBLE, 6) AS score FROM x JOIN n ON n.doc_id = l
 WHERE shared / n::DOUBLE > 0.1 AND lm.methods > 0 AND am.methods > 0 AND lm.weight > 0 AND am.weight > 0 AND am.methods <= lm.methods AND (lm.lang IS NULL OR lm.lang = am.lang)""")
 def class_candidates(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang", F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("methods"), "n_chars")
-    grams = document_grams(spark, sf).select("doc_id", "source", F.xxhash64("gram").alias("h"))
+    grams = document_grams(spark, sf, hashed=True).select("doc_id", "source", "h")
     side = lambda p, c: docs.where(c).select(F.col("doc_id").alias(p), F.col("lang").alias(f"{p}_super"), F.col("methods").alias(f"{p}_methods"), F.col("n_chars").alias(f"{p}_weight"))
     library, app = F.col("source") == "src0", F.col("source") != "src0"
     sets = similarity.candidates(side("l", library), side("a", app), grams.where(library).select(F.col("doc_id").alias("l"), "h"), grams.where(app).select(F.col("doc_id").alias("a"), "h"))
@@ -419,7 +415,7 @@ def lcs_length(spark, sf):
 def class_candidates_whole(spark, sf):
     """class_candidates between all documents of different sources, those without a source included: no source is singled out."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang", F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("methods"), "n_chars")
-    grams = document_grams(spark, sf).select("doc_id", F.xxhash64("gram").alias("h"))
+    grams = document_grams(spark, sf, hashed=True).select("doc_id", "h")
     side = lambda p: docs.select(F.col("doc_id").alias(p), F.col("lang").alias(f"{p}_super"), F.col("methods").alias(f"{p}_methods"), F.col("n_chars").alias(f"{p}_weight"))
     sets = similarity.candidates(side("l"), side("a"), grams.withColumnRenamed("doc_id", "l"), grams.withColumnRenamed("doc_id", "a"))
     of = lambda p: docs.select(F.col("doc_id").alias(p), F.col("source").alias(f"{p}_source"))
