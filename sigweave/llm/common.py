@@ -1,7 +1,6 @@
-"""What the training-data operators share: shared storage, word splitting, hashing of words and n-grams.
+"""What the training-data operators share: their tables, folds and words.
 
-Words are `[^\\x20\\x09-\\x0D]+`; only A-Z is ever lower-cased. Hashes have 64 bits and depend on nothing but
-their input, so that tasks that run again on another executor give the same rows.
+Words are `[^\\x20\\x09-\\x0D]+`; only A-Z is ever lower-cased.
 """
 
 from __future__ import annotations
@@ -12,15 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigweave.functions.arrays import hash_strings, listed, mix64, ngram_hashes, string_bytes, text_slices  # noqa: F401
 from sigweave.sources.storage import materialise, release, shared_dir  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-_MUL = np.uint64(0x9E3779B97F4A7C15)
-_MIX1 = np.uint64(0xBF58476D1CE4E5B9)
-_MIX2 = np.uint64(0x94D049BB133111EB)
-
-
 # ---------------------------------------------------------------- tables
 
 
@@ -39,22 +34,7 @@ def fold(key: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-# ---------------------------------------------------------------- batches and words
-
-
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20):
-    """Slices of a batch with about `limit` bytes of text at most, or one row."""
-    n = batch.num_rows
-    if not n:
-        return
-    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
-    ends = np.cumsum(lengths)
-    start = 0
-    while start < n:
-        base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        yield batch.slice(start, stop - start)
-        start = stop
+# ---------------------------------------------------------------- words
 
 
 def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -64,71 +44,4 @@ def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, p
     texts = pc.fill_null(texts, "")
     if lower:
         texts = pc.ascii_lower(texts)
-    lists = pc.ascii_split_whitespace(texts)
-    words = lists.flatten()
-    bounds = np.asarray(lists.offsets).astype(np.int64)
-    bounds = bounds - bounds[0]
-    full = np.asarray(pc.binary_length(words)) > 0
-    if not full.all():
-        before = np.concatenate([[0], np.cumsum(full)])
-        bounds = before[bounds]
-        words = words.filter(pa.array(full))
-    coded = words.dictionary_encode()
-    return np.asarray(coded.indices).astype(np.int64), bounds, coded.dictionary
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finaliser, element by element."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * _MIX1
-    x = x ^ (x >> np.uint64(27))
-    x = x * _MIX2
-    return x ^ (x >> np.uint64(31))
-
-
-def string_bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, bounds) of a string array without nulls."""
-    if strings.offset or not len(strings):
-        strings = pa.concat_arrays([strings, pa.array([""], strings.type)]).slice(0, len(strings)) if strings.offset else strings
-    wide = pa.types.is_large_string(strings.type) or pa.types.is_large_binary(strings.type)
-    _, offsets, data = strings.buffers()
-    if not len(strings):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    bounds = np.frombuffer(offsets, np.int64 if wide else np.int32, len(strings) + 1 + strings.offset)[strings.offset :].astype(np.int64)
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
-
-
-def hash_strings(strings: pa.Array, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each string: the sum of a random value for each (place, byte), mixed with the length."""
-    raw, bounds = string_bytes(strings)
-    lengths = np.diff(bounds)
-    total = np.zeros(len(strings), np.uint64)
-    if len(raw):
-        place = np.arange(len(raw), dtype=np.int64) - np.repeat(bounds[:-1], lengths)
-        each = mix64((place.astype(np.uint64) * np.uint64(256) + raw + np.uint64(seed << 40) + np.uint64(1)) * _MUL)
-        some = lengths > 0
-        total[some] = np.add.reduceat(each, bounds[:-1][some])
-    return mix64(total + lengths.astype(np.uint64) * _MUL)
-
-
-def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n neighbours in h."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
-    last = len(h) - n + 1
-    out = h[:last].copy()
-    for i in range(1, n):
-        out *= _MUL
-        out += h[i : i + last]
-    return mix64(out + np.uint64(n))
-
-
-def run_starts(bounds: np.ndarray, n: int) -> np.ndarray:
-    """Of places 0 .. bounds[-1] - n, those whose n neighbours stay within one text."""
-    total = int(bounds[-1])
-    if total < n:
-        return np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    starts = np.arange(total - n + 1)
-    return starts[owner[: total - n + 1] == owner[n - 1 :]]
+    return listed(pc.ascii_split_whitespace(texts))

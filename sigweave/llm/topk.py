@@ -1,15 +1,17 @@
 """Exact top-k search by integer inner product: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt by a hash of their id to shards of about SHARD_ROWS rows; each shard becomes one row with its
-vectors and its tree. Queries are packed into blocks of BLOCK_ROWS, and each block meets each shard by an equi-join on
-the block's number. A search takes tree nodes in order of their upper bound q.c + |q|r, and skips those under the
-query's current k-th score. That score is shared: the first shard is searched for all queries, and what it finds is
-where all other shards start from, so that they return only rows that can still be among the k best.
+Rows are dealt by their place to shards of about SHARD_ROWS rows; each shard is planted once, as one row with its tree: the
+vectors in order of the leaves, and each node's centre, radius and smallest id. Queries are written once, in blocks of
+BLOCK_ROWS, and blocks go to shards, never vectors to queries: a task reads a shard's tree and then its blocks one by one.
+A search takes tree nodes in order of their upper bound q.c + |q|r, and skips those under the query's current k-th
+score. That score is shared: shards are searched in waves, each WAVE times as many as those before it, and a wave starts
+from the k-th scores of all waves before, so that shards return only rows that can still be among the k best.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; vectors of another length
-than the query's are no candidates for it; rows with the query's own id are its own; equal scores go to the smaller
-id (a null id comes last, and a null id is no query); repeated candidate rows count once each; scores beyond 64 bits
-are cut to the nearest 64-bit number; an empty table gives no rows; other columns play no part.
+than the query's are no candidates for it; rows with the query's own id are its own; each row with a query's id is a query
+with ranks of its own; equal scores go to the smaller id (a null id comes last, and a null id is no query); repeated
+candidate rows count once each; scores beyond 64 bits are cut to the nearest 64-bit number; vectors of any length are taken
+whole; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, partitions, table
 
-SHARD_ROWS = 32_768
-BLOCK_ROWS = 2_048
+SHARD_ROWS = 65_536
+BLOCK_ROWS = 256
 LEAF_ROWS = 128
+WAVE = 8  # shards of a wave, for each one searched before it
 _LAST = np.iinfo(np.int64).max
 
 
@@ -45,9 +48,22 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([min(max(sum(int(a) * b for a, b in zip(row, own, strict=True)), -(2**63)), 2**63 - 1) for row in x], np.int64)
 
 
+def small(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes, in the smallest type that holds them."""
+    most = np.abs(x).max(initial=0)
+    kind = np.dtype(next((t for t in (np.int8, np.int16, np.int32) if most <= np.iinfo(t).max), np.float64))
+    return kind.char.encode() + x.astype(kind).tobytes()
+
+
+def large(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.dtype(data[:1].decode()), offset=1).astype(np.float64)
+
+
 class BallTree:
     """Nodes hold rows a..b of the reordered vectors, their centre and radius, and the smallest id among them."""
 
+    FIELDS = ("ids", "x", "nodes", "centre", "radius", "least")
+
     def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF_ROWS):
         order, self.nodes = np.arange(len(ids)), []
         todo = [(0, len(ids), -1)] if len(ids) else []
@@ -70,6 +86,19 @@ class BallTree:
         self.radius = np.array([np.sqrt(((self.x[a:b] - c) ** 2).sum(1).max()) for (a, b, *_), c in zip(self.nodes, self.centre, strict=True)])
         self.least = np.array([self.ids[a:b].min() for a, b, *_ in self.nodes], np.int64)
 
+    def stored(self) -> list[bytes]:
+        """FIELDS as bytes."""
+        return [self.ids.tobytes(), small(self.x), np.array(self.nodes, np.int64).tobytes(), self.centre.tobytes(), self.radius.tobytes(), self.least.tobytes()]
+
+    @classmethod
+    def read(cls, dim: int, parts: list[bytes]) -> BallTree:
+        tree = cls.__new__(cls)
+        ids, x, nodes, centre, radius, least = parts
+        tree.ids, tree.least, tree.radius = np.frombuffer(ids, np.int64), np.frombuffer(least, np.int64), np.frombuffer(radius)
+        tree.x = large(x).reshape(len(tree.ids), dim)
+        tree.nodes, tree.centre = np.frombuffer(nodes, np.int64).reshape(-1, 4).tolist(), np.frombuffer(centre).reshape(-1, dim) if dim else np.zeros((len(tree.least), 0))
+        return tree
+
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """Upper bounds of the inner product, by query and node."""
         norm = np.sqrt((q**2).sum(1))[:, None]
@@ -108,79 +137,87 @@ def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def top_k(vectors: DataFrame, is_query: Column | None = None, key: str = "vec_id", vector: str = "embedding", k: int = 5, scale: float = 256.0, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows with the largest inner product for each query."""
+    """(query_id, rank, vec_id, score): the k rows with the largest inner product for each query. vectors: a table (rows are dealt by their place in it)."""
     is_query = F.col("__id") % 50 == 0 if is_query is None else is_query
     rows = _vectors(vectors, key, vector)
-    queries = rows.where(is_query & F.col("__id").isNotNull())
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if(is_query & F.col("__id").isNotNull()).alias("q")).first()
+    asks = is_query & F.col("__id").isNotNull()
+    sizes = rows.agg(F.count("*").alias("n"), F.count_if(asks).alias("q")).first()
     shards, blocks = max(1, math.ceil(sizes["n"] / shard_rows)), max(1, math.ceil(sizes["q"] / block_rows))
+    tasks = partitions(vectors.sparkSession)
+    place = lambda n, seed: F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(n)).cast("int")  # noqa: E731  no id is hot
 
     def plant(group: pa.Table) -> pa.Table:
         dim = group["__dim"][0].as_py()
         ids = np.asarray(pc.fill_null(group["__id"], int(_LAST)))
-        x = scaled(group["__v"].combine_chunks(), dim, scale)
-        return pa.table({"__dim": pa.array([dim], pa.int32()), "__shard": group["__shard"].combine_chunks()[:1], "__ids": [ids.tobytes()], "__x": [x.tobytes()]})
+        tree = BallTree(ids, scaled(group["__v"].combine_chunks(), dim, scale))
+        return pa.table({"__dim": pa.array([dim], pa.int32()), "__shard": group["__shard"].combine_chunks()[:1], **{f: [v] for f, v in zip(BallTree.FIELDS, tree.stored(), strict=True)}})
 
     def bundle(group: pa.Table) -> pa.Table:
         dim = group["__dim"][0].as_py()
         x = scaled(group["__v"].combine_chunks(), dim, scale)
-        return pa.table({"__dim": pa.array([dim], pa.int32()), "__block": group["__block"].combine_chunks()[:1], "__qids": [np.asarray(group["__id"]).tobytes()], "__q": [x.tobytes()]})
+        return pa.table({"__dim": pa.array([dim], pa.int32()), "__block": group["__block"].combine_chunks()[:1], "qids": [np.asarray(group["__id"]).tobytes()], "q": [small(x)]})
 
-    sharded = rows.withColumn("__shard", F.pmod(F.xxhash64("__id"), F.lit(shards)).cast("int")).groupBy("__dim", "__shard").applyInArrow(plant, "__dim int, __shard int, __ids binary, __x binary")
-    sharded = materialise(sharded)
-    blocked = queries.withColumn("__block", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("__dim", "__block").applyInArrow(bundle, "__dim int, __block int, __qids binary, __q binary")
-    blocked = materialise(blocked)
+    fields = ", ".join(f"{f} binary" for f in BallTree.FIELDS)
+    trees = materialise(rows.withColumn("__shard", place(shards, 0)).groupBy("__dim", "__shard").applyInArrow(plant, f"__dim int, __shard int, {fields}"))
+    blocked = materialise(rows.where(asks).withColumn("__block", place(blocks, 1)).groupBy("__dim", "__block").applyInArrow(bundle, "__dim int, __block int, qids binary, q binary"))
 
     def search(batches):
+        tree, at = None, None
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for row in batch.to_pylist():
-                ids, qids = np.frombuffer(row["__ids"], np.int64), np.frombuffer(row["__qids"], np.int64)
-                x = np.frombuffer(row["__x"]).reshape(len(ids), row["__dim"])
-                q = np.frombuffer(row["__q"]).reshape(len(qids), row["__dim"])
-                floors = dict(zip(row["__floor_ids"] or [], row["__floors"] or [], strict=True))
-                tree = BallTree(ids, x)
-                bounds = tree.bounds(q) if tree.nodes else None
-                for i, own in enumerate(qids.tolist()):
-                    found = tree.search(own, q[i], bounds[i], k, floors.get(own)) if tree.nodes else []
-                    out += [(own, other, -minus) for minus, other in found]
-            yield pa.RecordBatch.from_pylist([{"query_id": a, "vec_id": b, "score": c} for a, b, c in out], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
-
-    def meet(trees: DataFrame, floors: DataFrame | None) -> DataFrame:
-        """Every block against every one of these shards."""
-        spread = trees.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        asked = blocked
-        if floors is None:
-            asked = asked.withColumn("__floor_ids", F.lit(None).cast("array<long>")).withColumn("__floors", F.lit(None).cast("array<long>"))
-        else:
-            asked = asked.join(floors, "__block", "left")
-        pairs = spread.join(asked, ["__dim", "__block"]).repartition(shards * blocks, "__dim", "__shard", "__block")
-        return pairs.select("__dim", "__ids", "__x", "__qids", "__q", "__floor_ids", "__floors").mapInArrow(search, "query_id long, vec_id long, score long")
-
-    found = materialise(meet(sharded.where("__shard = 0"), None))
-    if shards > 1:
-        # k-th scores so far: at most one number per query, kept by block of queries
-        kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
-        kth = kth.withColumn("__block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int"))
-        kth = kth.groupBy("__block").agg(F.collect_list(F.struct("query_id", "floor")).alias("f")).select("__block", F.col("f.query_id").alias("__floor_ids"), F.col("f.floor").alias("__floors"))
-        found = found.unionByName(meet(sharded.where("__shard > 0"), kth))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+            for i in range(batch.num_rows):
+                row = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+                if row["__block"] < 0:
+                    at, tree = (row["__dim"], row["__shard"]), BallTree.read(row["__dim"], [row[f] for f in BallTree.FIELDS])
+                elif at == (row["__dim"], row["__shard"]):  # or no row has this length and shard
+                    yield answers(tree, row)
+
+    def answers(tree: BallTree, row: dict) -> pa.RecordBatch:
+        ids = np.frombuffer(row["qids"], np.int64)
+        q = large(row["q"]).reshape(len(ids), row["__dim"])
+        floors = dict(row["floors"] or ())
+        bounds, out = tree.bounds(q), []
+        for i, own in enumerate(ids.tolist()):
+            out += [(row["__dim"], row["__block"], i, own, other, -minus) for minus, other in tree.search(own, q[i], bounds[i], k, floors.get(i))]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(FOUND)], schema=FOUND)
+
+    def meet(low: int, high: int, floors: DataFrame | None) -> DataFrame:
+        """Every block against the shards low .. high - 1."""
+        asked = blocked.withColumn("floors", F.lit(None).cast("array<struct<at:int,floor:long>>")) if floors is None else blocked.join(floors, ["__dim", "__block"], "left")
+        asked = asked.withColumn("__shard", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+        copies = max(1, min(blocks, math.ceil(tasks / (high - low))))  # of each tree, for waves of few shards: no more trees than tasks
+        asked = asked.withColumn("copy", F.pmod("__block", F.lit(copies)))
+        own = trees.where(F.col("__shard").between(low, high - 1)).withColumn("__block", F.lit(-1)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        both = own.unionByName(asked, allowMissingColumns=True).repartition(copies * (high - low), "__dim", "__shard", "copy").sortWithinPartitions("__dim", "__shard", "copy", "__block")
+        return both.mapInArrow(search, "__dim int, __block int, at int, query_id long, vec_id long, score long")
+
+    rank = F.row_number().over(Window.partitionBy("__dim", "__block", "at").orderBy(F.col("score").desc(), "vec_id"))
+    best, done = None, 0
+    while done < shards:
+        floors, more = None, max(1, WAVE * done)
+        if best is not None:  # one number per query, by block of queries
+            kth = best.groupBy("__dim", "__block", "at").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+            floors = kth.groupBy("__dim", "__block").agg(F.collect_list(F.struct("at", "floor")).alias("floors"))
+        found = meet(done, min(shards, done + more), floors)
+        found = found if best is None else best.drop("rank").unionByName(found)
+        best, done = materialise(found.withColumn("rank", rank).where(F.col("rank") <= k)), done + more
     return best.select("query_id", "rank", F.when(F.col("vec_id") != int(_LAST), F.col("vec_id")).alias("vec_id"), "score")
 
 
+FOUND = pa.schema([("__dim", pa.int32()), ("__block", pa.int32()), ("at", pa.int32()), *((c, pa.int64()) for c in ("query_id", "vec_id", "score"))])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
 """

@@ -3,6 +3,7 @@ import math
 import numpy as np
 
 from sigweave.llm import topk
+from sigweave.llm.common import materialise as topk_materialise
 
 
 def brute(rows, k=5):
@@ -29,6 +30,36 @@ def test_ties_nulls_and_odd_vectors(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_rows_that_share_a_query_id_are_queries_each(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i // 2 * 25, rng.normal(size=3).tolist()) for i in range(40)] + [(None, [9.0, 9.0, 9.0])] * 30
+    want = brute(rows)
+    assert sum(r[:2] == (50, 1) for r in want) == 2
+    assert run(spark, [(*r, 1, 2) for r in rows], "double") == want
+    assert run(spark, [(*r, 1, 2) for r in rows], "double", shard_rows=7, block_rows=3) == want
+
+
+def test_each_shard_is_planted_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(topk, "materialise", lambda df: written.append(topk_materialise(df)) or written[-1])
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist(), 1, 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, __id int")
+    assert topk.top_k(df, shard_rows=50, block_rows=2).count() == 12 * 5
+    trees, _, *waves = written
+    assert trees.count() == 12 and len(waves) == 3  # shard 0, the next 8, and the rest start from trees that are read
+
+
+def test_stored_trees_answer_alike():
+    rng = np.random.default_rng(2)
+    for scale in (20, 3000, 1e12):
+        x, q = (np.floor(rng.normal(size=(n, 5)) * scale) for n in (300, 4))
+        tree = topk.BallTree(np.arange(300), x, leaf=16)
+        again = topk.BallTree.read(5, tree.stored())
+        assert (again.bounds(q) == tree.bounds(q)).all()
+        assert all(again.search(i, q[i], again.bounds(q)[i], 5, None) == tree.search(i, q[i], tree.bounds(q)[i], 5, None) for i in range(4))
+
+
 def test_many_shards_blocks_and_hot_vectors(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(700)] + [(i, [0.5] * 8) for i in range(700, 1100)]
