@@ -5,8 +5,8 @@ with their log odds), lexicon words close to a second-person word, rates of capi
 stretched words, and the text's length. They are computed per distinct word of a batch and summed per text.
 
 Fitted on a sample of labelled rows of about MAX_TRAIN rows by a hash of the id (documented bound; all if there are
-fewer). Texts stay on the executors: the driver gets the learned lexicon (at most MAX_LEXICON entries) and one row
-of features per sampled document. Rows get features from a lexicon that other thirds of the sample taught, trees are
+fewer). Texts stay on the executors: the driver gets the learned lexicon (words of the sample that toxic texts prefer) and one
+row of features per sampled document. Rows get features from a lexicon that other thirds of the sample taught, trees are
 calibrated on thirds that they haven't seen.
 
 Defined results: null text counts as empty and is scored; labels that are null or belong to no document teach nothing;
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import fold, materialise, split_words, table, text_slices
 
 MAX_TRAIN = 20_000
-MAX_LEXICON = 5_000
+LEAST_TOXIC, LEAST_ODDS, LEAST_GAIN = 3, 1.0, 6.0  # toxic documents, log odds and their product that make a unit part of the lexicon
 FOLDS = 3
 NEAR = 5  # words
 
@@ -213,9 +213,9 @@ def _lexicon(counts: list, skip: int | None) -> dict[str, float]:
             t += (toxic, clean)
     out = {}
     for unit, (toxic, clean) in total.items():
-        if toxic >= 3:
+        if toxic >= LEAST_TOXIC:
             odds = np.log((toxic + 0.5) / (docs[0] + 1)) - np.log((clean + 0.5) / (docs[1] + 1))
-            if odds > 1.0 and toxic * odds > 6:
+            if odds > LEAST_ODDS and toxic * odds > LEAST_GAIN:
                 out[unit] = float(odds)
     return out
 
@@ -245,10 +245,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total], pa.int32()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1] for v in total.values()], pa.int64())], names=["unit", "third", "toxic", "clean"])
 
     counted = sample.mapInArrow(count, "unit string, third int, toxic long, clean long").groupBy("unit", "third").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    by_unit = counted.groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.collect_list(F.struct("third", "toxic", "clean")).alias("of"))  # FOLDS entries at most
-    likely = by_unit.where("unit = '' OR t >= 3").withColumn("gain", F.when(F.col("unit") == "", F.lit(1e300)).otherwise(F.col("t") * F.log((F.col("t") + 0.5) / (F.col("c") + 0.5))))
-    top = likely.orderBy(F.col("gain").desc(), "unit").limit(MAX_LEXICON).collect()
-    counts = [(r["unit"], x["third"], x["toxic"], x["clean"]) for r in top for x in r["of"]]
+    thirds = {r["third"]: (r["toxic"], r["clean"]) for r in counted.where("unit = ''").collect()}  # FOLDS rows
+    part = lambda name, f: F.sum(F.when(F.col("third") == f, F.col(name)).otherwise(0))
+    by_unit = counted.where("unit != ''").groupBy("unit").agg(*[part(name, f).alias(f"{name}{f}") for name in ("toxic", "clean") for f in range(FOLDS)])
+    kept = F.lit(False)
+    for skip in (None, *range(FOLDS)):
+        own = [f for f in range(FOLDS) if f != skip]
+        docs_of = [sum(thirds.get(f, (0, 0))[i] for f in own) for i in (0, 1)]
+        t, c = (sum((F.col(f"{name}{f}") for f in own[1:]), F.col(f"{name}{own[0]}")) for name in ("toxic", "clean"))
+        odds = F.log((t + 0.5) / (docs_of[0] + 1)) - F.log((c + 0.5) / (docs_of[1] + 1))
+        kept = kept | ((t >= LEAST_TOXIC) & (odds > LEAST_ODDS) & (t * odds > LEAST_GAIN))
+    found = by_unit.where(kept).collect()  # what some third's lexicon holds: words of the sample
+    counts = [("", f, *n) for f, n in sorted(thirds.items())] + [(r["unit"], f, r[f"toxic{f}"], r[f"clean{f}"]) for r in sorted(found) for f in range(FOLDS)]
     parts = [_lexicon(counts, f) for f in range(FOLDS)]
 
     def features(batches):
@@ -269,13 +277,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score and predicted."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    keep = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
         for whole in batches:
             for batch in text_slices(whole, text):
                 s = model.score(batch.column(text))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
 
