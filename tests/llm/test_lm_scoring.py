@@ -27,6 +27,27 @@ def brute(rows):
     return out
 
 
+def plain_em(tokens, order):
+    """Weights by bucket from single held-out tokens (bucket, estimates): expectation-maximisation on all of them first, then in
+    each bucket, where the common weights count as one more token."""
+    even = [1 / (order + 1)] * (order + 1)
+    if not tokens:
+        return dict.fromkeys(range(order * lm.TOP), even)
+
+    def rounds(own, w, prior):
+        for _ in range(lm.ROUNDS):
+            total = list(prior)
+            for f in own:
+                mix = sum(a * b for a, b in zip(w, f, strict=True))
+                for k in range(order + 1):
+                    total[k] += w[k] * f[k] / mix
+            w = [t / sum(total) for t in total]
+        return w
+
+    common = [0.999 * x + 0.001 / (order + 1) for x in rounds([f for _, f in tokens], even, [0.0] * (order + 1))]
+    return {b: rounds([f for c, f in tokens if c == b], common, common) for b in range(order * lm.TOP)}
+
+
 def brute_model(rows, order):
     """The interpolated model by dictionaries, with EM over single held-out tokens."""
     def grams(text, n):
@@ -53,7 +74,7 @@ def brute_model(rows, order):
     train = [r for r in rows if folded(r[0]) % 7 != 2]
     deleted = [r for r in train if folded(r[0]) // 7 % lm.DELETED == 0]
     rest = counted([r for r in train if folded(r[0]) // 7 % lm.DELETED])
-    weights = lm.learn([(b, 1, f) for _, t in deleted for b, f in estimate(t, *rest)], order)
+    weights = plain_em([x for _, t in deleted for x in estimate(t, *rest)], order)
     full = counted(train)
     return [sum(log10(float(np.dot(weights[b], f))) for b, f in estimate(t, *full)) for _, t in rows]
 

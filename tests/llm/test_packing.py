@@ -24,6 +24,33 @@ def test_ids_equal_the_public_tokenizer(whole):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def same_ids(whole, texts):
+    ids, bounds = packing.Encoder(**packing.vocabulary()).encode(pa.array(texts, pa.string()))
+    for i, e in enumerate(whole.encode_batch(texts, add_special_tokens=False)):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == e.ids, repr(texts[i][:200])
+
+
+def test_ids_equal_the_public_tokenizer_on_whole_tables(spark, whole):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    same_ids(whole, [r.text for r in docs.select("text").collect()])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ids_equal_the_public_tokenizer_on_random_strings(whole, seed):
+    rng = np.random.default_rng(seed)
+    spaces = [*" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0", "\u1680", "\u2000", "\u2009", "\u200a", "\u200b", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\ufeff", "  ", " \n", "\n ", "   "]
+    words = ["a", "I'm", "we'll", "'s", "'", "don't", "x1", "42", "3.14", "--", "...", "!?", "é", "e\u0301", "日本", "ß", "Ω", "\u0660", "²", "½", "😀", "👩\u200d💻", "<|", "|>", "<|endoftext|>", "_", "A_b", "\u00ad", "\u0600", "\U0001d7d8"]
+    chars = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x11000)]]
+    texts = []
+    for i in range(700):
+        n = int(rng.integers(1, 25))
+        pool = words if i % 3 else chars
+        some = [pool[int(j)] for j in rng.integers(0, len(pool), n)]
+        gaps = [spaces[int(j)] if rng.random() < 0.4 else " " if rng.random() < 0.7 else "" for j in rng.integers(0, len(spaces), n + 1)]
+        texts.append("".join(g + w for g, w in zip(gaps, [*some, ""], strict=True)))
+    same_ids(whole, texts)
+
+
 def one_by_one(sizes, capacity):
     """Best-fit decreasing by looking at every bin."""
     bins = []
