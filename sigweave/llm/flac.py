@@ -23,10 +23,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import string_bytes, table, text_slices
+from .common import materialise, string_bytes, table, text_slices
 
 PAD = 64
 BLOCK = 1024
@@ -601,6 +600,13 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(key, text).mapInArrow(run, schema)
 
 
+def _pcm(streams: list[bytes], block: int):
+    """For each stream, its decoded and verified signed 8-bit samples as blocks (first sample, bytes)."""
+    for x in decode(streams):
+        pcm = x.astype(np.int8).tobytes()
+        yield [(p, pcm[p : p + block]) for p in range(0, len(pcm), block)]
+
+
 def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", block: int = BLOCK) -> DataFrame:
     """(key, block, sample_offset, n_samples, pcm): decoded and verified signed 8-bit samples, in blocks that can be read from any sample offset."""
     schema = T.StructType([media.schema[key], *(T.StructField(c, T.LongType()) for c in ("block", "sample_offset", "n_samples")), T.StructField("pcm", T.BinaryType())])
@@ -609,18 +615,37 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", blo
         for whole in batches:
             for batch in text_slices(whole, column, SLICE):
                 some = [i for i, m in enumerate(batch.column(column)) if m.is_valid]
-                rows = []
-                for i, x in zip(some, decode([batch.column(column)[i].as_py() for i in some]), strict=True):
-                    pcm = x.astype(np.int8).tobytes()
-                    rows += [(i, p // block, p, len(pcm[p : p + block]), pcm[p : p + block]) for p in range(0, len(pcm), block)]
+                rows = [(i, p // block, p, len(x), x) for i, blocks in zip(some, _pcm([batch.column(column)[i].as_py() for i in some], block), strict=True) for p, x in blocks]
                 columns = [batch.column(key).take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)), pa.array([r[4] for r in rows], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
     return media.select(key, column).mapInArrow(run, schema)
 
 
-def features(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """Digests and features of the payloads read back from streams: root mean square, zero crossings and peak of the samples."""
+class Digest:
+    """What features() tells of a stream, block of samples by block."""
+
+    def __init__(self):
+        self.sha, self.bytes, self.square, self.crossings, self.peak, self.sign, self.tail = hashlib.sha256(), 0, 0, 0, 0, None, b""
+
+    def add(self, pcm: bytes) -> None:
+        x = np.frombuffer(pcm, np.int8).astype(np.int32)
+        payload = (x + 128).astype(np.uint8).tobytes()
+        self.sha.update(payload)
+        self.bytes += len(payload)
+        self.tail = (self.tail + payload)[-PAD:]
+        self.square += int((x * x).sum())
+        below = x < 0
+        self.crossings += int(np.count_nonzero(below[1:] != below[:-1])) + (self.sign is not None and bool(below[0]) != self.sign)
+        self.sign, self.peak = bool(below[-1]), max(self.peak, int(np.abs(x).max()))
+
+    def row(self, stream: bytes) -> tuple:
+        feature = f"rms={float(np.sqrt(self.square / self.bytes)):.6f};crossings={self.crossings};peak={self.peak}"
+        return self.bytes, self.sha.hexdigest(), zlib.crc32(self.tail), len(stream), hashlib.sha256(stream).hexdigest(), feature
+
+
+def features(media: DataFrame, key: str = "doc_id", column: str = "media", block: int = BLOCK) -> DataFrame:
+    """Digests and features of the payloads read back from streams, PCM block by block: root mean square, zero crossings and peak of the samples."""
     fields = [("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")]
     kinds = {"long": T.LongType(), "string": T.StringType()}
     schema = T.StructType([media.schema[key], *(T.StructField(n, kinds[t]) for n, t in fields)])
@@ -630,12 +655,11 @@ def features(media: DataFrame, key: str = "doc_id", column: str = "media") -> Da
             for batch in text_slices(whole, column, SLICE):
                 streams = batch.column(column).to_pylist()
                 rows = []
-                for stream, x in zip(streams, decode(streams), strict=True):
-                    x = x.astype(np.int32)
-                    payload = (x + 128).astype(np.uint8).tobytes()
-                    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-                    feature = f"rms={float(np.sqrt((x * x).sum(dtype=np.int64) / len(x))):.6f};crossings={crossings};peak={int(np.abs(x).max())}"
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(stream), hashlib.sha256(stream).hexdigest(), feature))
+                for stream, blocks in zip(streams, _pcm(streams, block), strict=True):
+                    digest = Digest()
+                    for _, pcm in blocks:
+                        digest.add(pcm)
+                    rows.append(digest.row(stream))
                 columns = [pa.array([r[k] for r in rows], pa.string() if k in (1, 4, 5) else pa.int64()) for k in range(6)]
                 yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("n_bytes"), *columns], names=[f.name for f in schema])
 
@@ -643,4 +667,5 @@ def features(media: DataFrame, key: str = "doc_id", column: str = "media") -> Da
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(store(table(spark, sf_dir, "documents").select("doc_id", F.col("text"))))
+    media = materialise(store(table(spark, sf_dir, "documents").select("doc_id", "text")), "zstd")
+    return features(media)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from sigweave.llm import flac
+from sigweave.llm.common import materialise
 
 TEXTS = [None, "", "a", "x" * 64, "x" * 65, "héé ñ 日本 😀 " * 300, "plain words of a text. " * 2000, "\x00\x01" * 700, "zZ" * 32 + "\n" * 900, "one two\nthree"]
 
@@ -122,6 +123,32 @@ def test_columns(spark):
     assert pcm.astype(np.uint8).tobytes().rstrip(b"\0") == TEXTS[6].encode()
 
 
+def plain_feature(text):
+    raw = (text or "").encode()
+    x = [b - 128 for b in raw + bytes(-len(raw) % 64 if raw else 64)]
+    rms = (sum(v * v for v in x) / len(x)) ** 0.5
+    return f"rms={rms:.6f};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))};peak={max(map(abs, x))}"
+
+
+def test_features_and_media_columns_are_those_of_what_is_stored(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    media = {r.doc_id: bytes(r.media) for r in flac.store(df).collect()}
+    for block in (64, 1024, 1 << 20):
+        for r in flac.features(flac.store(df), block=block).collect():
+            stream = media[r.doc_id]
+            assert (r.media_bytes, r.media_sha256, r.feature) == (len(stream), hashlib.sha256(stream).hexdigest(), plain_feature(TEXTS[r.doc_id]))
+            # what is stored holds the text, by the format's rules one by one
+            raw = (flac.read_stream(stream) + 128).astype(np.uint8).tobytes()
+            assert raw[: r.n_bytes] == (TEXTS[r.doc_id] or "").encode() and not any(raw[r.n_bytes :])
+
+
+def test_media_are_written_before_they_are_read(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(flac, "materialise", lambda df, how: written.append(materialise(df, how)) or written[-1])
+    rows = flac.query(spark, "/root/testdata/sf0.001")
+    assert rows.count() == written[0].count() and written[0].columns == ["doc_id", "n_bytes", "media"]
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
