@@ -26,11 +26,18 @@ def brute(rows):
 
 def test_small_table(spark):
     df = spark.createDataFrame([(*r, 1) for r in ROWS], "conv_id long, turn long, role string, text string, position int")
-    for span in (1, 256):
-        assert sorted((tuple(r) for r in chat.rotate(df, span=span).collect()), key=str) == brute(ROWS)
+    for spans in (1, 5, 64):
+        assert sorted((tuple(r) for r in chat.rotate(df, spans=spans).collect()), key=str) == brute(ROWS)
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_long_conversations_lie_in_many_spans(spark):
+    """Turns that are null or all the same, turns that repeat, and far more rows than any other conversation has."""
+    rows = [(1, None if i % 3 else 7, "abc"[i % 3], f"t{i % 211}") for i in range(1500)] + [(1, 7, "a", "same")] * 400 + [(i, 0, "x", "y") for i in range(2, 60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert sorted((tuple(r) for r in chat.rotate(df, spans=16).collect()), key=str) == brute(rows)
+
+
 def test_whole_table_and_sql(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
