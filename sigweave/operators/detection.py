@@ -261,17 +261,17 @@ def class_hashes(classes: DataFrame, k: int) -> DataFrame:
     return opened(classes, k).select("artifact", "cls", F.explode("hashes").alias("h"))
 
 
-def detect(libraries: DataFrame, apps: DataFrame, settings: Settings = Settings(), keep=lambda df: df) -> DataFrame:
+def detect(libraries: DataFrame, apps: DataFrame, settings: Settings = Settings(), keep=lambda df: df, opened_libraries: DataFrame | None = None) -> DataFrame:
     """(app, library, match, cover, accepted, round, classes) of all rounds; both inputs are class records (artifact, cls, record).
 
     `keep` fixes a round's rows (a table written or cached), so that later rounds don't compute them again. A round
     scans what the sketches suggest, accepts in order of (match, cover), takes accepted classes out of the applications,
     and drops library candidates whose scan failed; it ends when no candidate is left. Each round drops a candidate or takes
     classes away in each application that it scans. There can be as many rounds as copies of a library in an application, so
-    that `keep` should cut the plan, too.
+    that `keep` should cut the plan, too. opened_libraries: the libraries as opened() gives them, if they are kept somewhere.
     """
     s = settings
-    lib_rows, left = (keep(opened(classes, s.k)) for classes in (libraries, apps))
+    lib_rows, left = keep(opened(libraries, s.k)) if opened_libraries is None else opened_libraries, keep(opened(apps, s.k))
     lib_sets = keep(lib_rows.select(F.col("artifact").alias("library"), F.explode("hashes").alias("h")).distinct())
     sizes = lib_rows.groupBy(F.col("artifact").alias("library")).agg(F.sum("weight").alias("size"))
     thresholds = keep(sizes.select("library", detection_threshold(F.col("size"), s.detection_formula).alias("threshold")))

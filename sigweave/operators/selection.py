@@ -49,6 +49,13 @@ def resolve(results: DataFrame, members: DataFrame, key: str = "result", member:
     return ranked.join(lost, [*within, key], "left").withColumn("accepted", F.col("__lost").isNull()).drop("__rank", "__lost")
 
 
+def progress(results: DataFrame) -> DataFrame:
+    """(round, scanned, accepted) of detection results: the results of each round so far, and those accepted."""
+    rounds = results.groupBy("round").agg(F.count("*").alias("found"), F.count_if("accepted").alias("taken"))  # one row per round from here on
+    so_far = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
+    return rounds.select("round", F.sum("found").over(so_far).alias("scanned"), F.sum("taken").over(so_far).alias("accepted"))
+
+
 def error_counts(matches: DataFrame, truth: DataFrame, key: str, found: str) -> DataFrame:
     """(correct, wrong_assignment, wrong_detection, unmatched): of (key, found) against the names `truth` holds.
 

@@ -22,6 +22,33 @@ def lcs(a, b) -> int:
     return int(best[-1])
 
 
+def common(a, b) -> list:
+    """A longest common subsequence; of several, the one that takes a's units first."""
+    best = np.zeros((len(a) + 1, len(b) + 1), np.int64)
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i, j] = best[i + 1, j + 1] + 1 if a[i] == b[j] else max(best[i + 1, j], best[i, j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append(a[i])
+            i, j = i + 1, j + 1
+        elif best[i, j + 1] >= best[i + 1, j]:
+            j += 1
+        else:
+            i += 1
+    return out
+
+
+def common_units(a: Column, b: Column) -> Column:
+    """A longest common subsequence of two arrays of strings; null for null."""
+
+    def units(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else common(list(p), list(q)) for p, q in zip(x, y, strict=True)], dtype=object)
+
+    return F.pandas_udf(units, T.ArrayType(T.StringType()))(a, b)
+
+
 def lcs_length(a: Column, b: Column) -> Column:
     def lengths(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else lcs(p, q) for p, q in zip(x, y, strict=True)], dtype="Int32")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sigweave.functions import hashing, normalise
 from sigweave.functions.formula import compile_formula
-from sigweave.operators import assignment, catalogue, detection, kgrams, rollup, selection, sequences, similarity, sketches, votes
+from sigweave.operators import assignment, catalogue, detection, kgrams, lifting, rollup, selection, sequences, similarity, sketches, votes
 from sigweave.sources import signatures
 from sigweave.sources.storage import materialise
 
@@ -399,6 +399,107 @@ def percent_format(spark, sf):
     return n.select("c_mktsegment", normalise.percent(F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
+SQL_TYPE = lambda k: f"CASE WHEN {k} % 4 = 0 THEN 'T' || {k} WHEN {k} % 4 = 3 THEN 'int' ELSE '#' END"
+SQL_REFS = lambda k: f"CASE WHEN {k} % 4 IN (1, 2) THEN 1 ELSE 0 END"
+
+
+def statement_rows(spark, sf) -> DataFrame:
+    """Line items as statements of lifted code: an order is a method, the line number a kind of statement, and keys of parts and suppliers are types
+    (a quarter each the platform's, the application's, unknown, and no class)."""
+    kind = lambda k: F.when(k % 4 == 0, "platform").when(k % 4 == 1, "app").when(k % 4 == 2, "phantom")
+    type_ = lambda k: F.struct(F.when(k % 4 == 3, "int").otherwise(F.concat(F.lit("T"), k.cast("string"))).alias("name"), kind(k).alias("status"))
+    part, supplier, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    local = lambda k: F.struct(type_(k).alias("local"), F.lit(None).cast("string").alias("text"))
+    number = F.struct(F.lit(None).cast(lifting.TYPE).alias("local"), F.col("l_quantity").cast("int").cast("string").alias("text"))
+    member = lambda params: F.struct(type_(part).alias("owner"), F.lit("m").alias("name"), type_(supplier).alias("type"), params.cast(f"array<{lifting.TYPE}>").alias("params"), n.cast("int").alias("idx"))
+
+    def value(kind_, **given):
+        fields = {"text": F.lit("?"), "op": F.lit(None), "index": F.lit(None), "type": F.lit(None), "base": F.lit(None), "args": F.lit(None), "member": F.lit(None)} | given
+        return F.struct(F.lit(kind_).alias("kind"), *(v.alias(k) for k, v in fields.items())).cast(lifting.VALUE)
+
+    none = F.lit(None).cast(lifting.VALUE)
+    left = F.when(n.isin(1, 5), value("local", args=F.array(local(part))))
+    left = left.when(n == 2, value("invoke", op=F.lit("virtual"), base=local(supplier), args=F.array(number), member=member(F.array(type_(supplier)))))
+    left = left.when(n == 3, value("binop", op=F.lit(" < "), args=F.array(local(part), number))).when(n.isin(4, 7), value("local", args=F.array(local(supplier)))).otherwise(none)
+    right = F.when(n == 1, value("cast", type=type_(supplier), args=F.array(local(part)))).when(n == 5, value("field", base=local(supplier), member=member(F.lit(None))))
+    right = right.when(n == 6, value("parameter", index=F.lit(1), type=type_(part))).otherwise(none)
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("assign", "invoke", "if", "return", "assign", "identity", "throw")]), n)
+    rows = table(spark, sf, "lineitem").where("l_linenumber <= 7")
+    return rows.select(F.lit("a").alias("artifact"), F.col("l_orderkey").cast("string").alias("cls"), F.lit(0).alias("method"), F.lit(0).alias("block"), n.alias("pos"), kinds.alias("kind"), left.alias("left"), right.alias("right"), F.lit(None).cast("array<string>").alias("keys"))
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, {SQL_TYPE("l_partkey")} AS tp, {SQL_TYPE("l_suppkey")} AS ts, {SQL_REFS("l_partkey")} AS rp, {SQL_REFS("l_suppkey")} AS rs,
+CASE WHEN l_partkey % 4 = 0 THEN 'm' ELSE '#' END AS m, l_quantity::INT::VARCHAR AS q FROM lineitem WHERE l_linenumber <= 7)
+SELECT l_orderkey::VARCHAR AS cls, n AS pos, CASE n WHEN 1 THEN '<' || tp || '> = (' || ts || ') <' || tp || '>' WHEN 2 THEN 'virtualinvoke <' || ts || '>.<' || tp || ': ' || ts || ' ' || m || '(' || ts || ')>(' || q || ')'
+WHEN 3 THEN 'if <' || tp || '> < ' || q WHEN 4 THEN '<' || ts || '>' WHEN 5 THEN '<' || tp || '> = <' || ts || '>.<' || tp || ': ' || ts || ' ' || m || '>' WHEN 6 THEN 'identity @parameter1: ' || tp ELSE 'throw <' || ts || '>' END AS instr,
+(CASE n WHEN 1 THEN 2 * rp + rs WHEN 2 THEN rp + 3 * rs WHEN 3 THEN rp WHEN 4 THEN rs WHEN 5 THEN 2 * rp + 2 * rs WHEN 6 THEN rp ELSE rs END)::INT AS refs, n = 2 AND p % 4 <> 0 AS invokes, CASE WHEN n = 2 AND p % 4 = 1 THEN 'T' || p ELSE '' END AS callee,
+CASE WHEN p % 4 <> 0 THEN '' WHEN n = 2 THEN '<T' || p || ': ' || CASE WHEN s % 4 = 3 THEN 'int' ELSE 'T' || s END || ' m(' || CASE WHEN s % 4 = 3 THEN 'int' ELSE 'T' || s END || ')>' WHEN n = 5 THEN '<T' || p || ': ' || CASE WHEN s % 4 = 3 THEN 'int' ELSE 'T' || s END || ' m>' ELSE '' END AS platform_ref FROM t""")
+def unit_texts(spark, sf):
+    """Canonical instructions of line items read as lifted code, and what they refer to."""
+    rows = lifting.instructions(statement_rows(spark, sf))
+    return rows.select("cls", "pos", "instr", F.size("ref_types").alias("refs"), F.col("has_inv").alias("invokes"), F.coalesce("ref_cls", F.lit("")).alias("callee"), F.coalesce("platform_ref", F.lit("")).alias("platform_ref"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT c_custkey AS cls, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS up, CASE c_nationkey % 3 WHEN 0 THEN 'platform' WHEN 1 THEN 'app' ELSE 'phantom' END AS status FROM customer),
+w AS (SELECT cls, up AS at FROM c UNION ALL SELECT w.cls, c.up FROM w JOIN c ON c.cls = w.at WHERE c.status <> 'platform' AND c.up IS NOT NULL),
+f AS (SELECT w.cls, w.at FROM w JOIN c ON c.cls = w.at WHERE c.status = 'platform')
+SELECT cls::VARCHAR AS cls, coalesce(f.at::VARCHAR, '') AS lib_super FROM c LEFT JOIN f USING (cls)""")
+def platform_superclass(spark, sf):
+    """The nearest ancestor that is the platform's, in a tree of customers."""
+    status = F.when(F.col("c_nationkey") % 3 == 0, "platform").when(F.col("c_nationkey") % 3 == 1, "app").otherwise("phantom")
+    up = F.when(F.col("c_custkey") > 1, F.floor(F.col("c_custkey") / 2).cast("string"))
+    classes = table(spark, sf, "customer").select(F.lit("a").alias("artifact"), F.col("c_custkey").cast("string").alias("cls"), status.alias("status"), up.alias("superclass"))
+    return lifting.platform_superclass(classes).select("cls", F.coalesce("lib_super", F.lit("")).alias("lib_super"))
+
+
+SQL_LCS = "w AS (SELECT p_partkey AS k, string_split(p_type || ' ' || p_name, ' ') AS a FROM part), x AS (SELECT w.k, w.a, v.a AS b FROM w JOIN w v ON v.k = w.k + 1)"
+_cells = "x"
+for _i in range(1, 4):
+    for _j in range(1, 4):
+        _up, _back, _both = (f"coalesce(c{_i - 1}{_j}, 0)" if _i > 1 else "0"), (f"coalesce(c{_i}{_j - 1}, 0)" if _j > 1 else "0"), (f"coalesce(c{_i - 1}{_j - 1}, 0)" if _i > 1 and _j > 1 else "0")
+        _cells = f"(SELECT *, greatest({_up}, {_back}, {_both} + CASE WHEN a[{_i}] = b[{_j}] THEN 1 ELSE 0 END) AS c{_i}{_j} FROM {_cells})"
+
+
+@query(f"WITH {SQL_LCS} SELECT k, c33::INT AS lcs, round(2 * c33 / (len(a) + len(b))::DOUBLE, 6) AS similarity, round(c33 / len(b)::DOUBLE, 6) AS of_second FROM {_cells} WHERE len(a) = 3 AND len(b) = 3")
+def lcs_types(spark, sf):
+    """Common subsequences of the type and name (three words) of neighbouring parts: length, similarity, and as a part of the second one; the subsequence itself has that length."""
+    w = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.split(F.concat_ws(" ", "p_type", "p_name"), " ").alias("a"))
+    x = w.join(w.select((F.col("k") - 1).alias("k"), F.col("a").alias("b")), "k").where("size(a) = 3 AND size(b) = 3")
+    a, b = F.col("a"), F.col("b")
+    return x.select("k", F.size(sequences.common_units(a, b)).alias("lcs"), F.round(sequences.lcs_similarity(a, b), 6).alias("similarity"), F.round(sequences.reference_similarity(a, b), 6).alias("of_second"))
+
+
+def segment_edges(spark, sf) -> DataFrame:
+    customer, nation = table(spark, sf, "customer"), table(spark, sf, "nation")
+    n = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_name", "c_mktsegment").agg(F.count("*").alias("n"))
+    return n.withColumn("sim", F.col("n") / F.max("n").over(Window.partitionBy("n_regionkey")))
+
+
+SQL_SEGMENTS = """n AS (SELECT n_regionkey AS g, n_name AS l, c_mktsegment AS r, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), s AS (SELECT g, l, r, n / max(n) OVER (PARTITION BY g)::DOUBLE AS sim FROM n),
+rows AS (SELECT g, l, row_number() OVER (PARTITION BY g ORDER BY l) AS i FROM (SELECT DISTINCT g, l FROM s)), segs AS (SELECT DISTINCT g, r FROM s)"""
+
+
+@query(f"""WITH RECURSIVE {SQL_SEGMENTS},
+p AS (SELECT g, 0::BIGINT AS i, []::VARCHAR[] AS used, 0.0::DOUBLE AS total FROM (SELECT DISTINCT g FROM s)
+UNION ALL SELECT p.g, p.i + 1, CASE WHEN s.r IS NULL THEN used ELSE list_append(used, s.r) END, total + coalesce(1 + s.sim, 0)
+FROM p JOIN rows ON rows.g = p.g AND rows.i = p.i + 1 JOIN (SELECT g, r FROM segs UNION ALL SELECT DISTINCT g, NULL FROM segs) c ON c.g = p.g LEFT JOIN s ON s.g = p.g AND s.l = rows.l AND s.r = c.r
+WHERE (c.r IS NULL OR s.r IS NOT NULL) AND (s.r IS NULL OR NOT list_contains(used, s.r)))
+SELECT p.g AS n_regionkey, round(max(total), 6) AS total FROM p JOIN (SELECT g, max(i) AS i FROM rows GROUP BY g) e ON e.g = p.g AND e.i = p.i GROUP BY p.g""")
+def assignment_total(spark, sf):
+    """The sum of 1 + similarity of each region's best matching of nations and market segments."""
+    best = assignment.assign(segment_edges(spark, sf), "n_regionkey", "n_name", "c_mktsegment")
+    return best.groupBy("n_regionkey").agg(F.round(F.sum(1 + F.col("sim")), 6).alias("total"))
+
+
+@query(r"""WITH l AS (SELECT item_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS line FROM (SELECT item_id, string_split(text, chr(10)) AS ls FROM benchmark)),
+u AS (SELECT item_id, i, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') AS ws FROM l)
+SELECT item_id::VARCHAR AS artifact, item_id || ':' || i AS cls, 0 AS method, 0 AS block, (generate_subscripts(ws, 1) - 1)::INT AS pos, unnest(ws) AS instr, '' AS refs, false AS has_inv, '' AS callee FROM u""")
+def signature_instructions(spark, sf):
+    """Stored records opened to instructions, with their references as text."""
+    rows = signatures.units(text_records(table(spark, sf, "benchmark"), "item_id", "item_id"))
+    return rows.select("artifact", "cls", "method", "block", "pos", "instr", F.array_join("ref_types", ",").alias("refs"), "has_inv", F.coalesce("ref_cls", F.lit("")).alias("callee"))
+
+
 # ---------------------------------------------------------------- no SQL counterpart
 
 
@@ -426,10 +527,7 @@ def class_candidates_whole(spark, sf):
 @query()
 def assignment_max_weight(spark, sf):
     """Nations to market segments within each region, by their customers' part of the segment."""
-    customer, nation = table(spark, sf, "customer"), table(spark, sf, "nation")
-    n = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_name", "c_mktsegment").agg(F.count("*").alias("n"))
-    edges = n.withColumn("sim", F.col("n") / F.max("n").over(Window.partitionBy("n_regionkey")))
-    return assignment.assign(edges, "n_regionkey", "n_name", "c_mktsegment").withColumn("sim", F.round("sim", 6))
+    return assignment.assign(segment_edges(spark, sf), "n_regionkey", "n_name", "c_mktsegment").withColumn("sim", F.round("sim", 6))
 
 
 def text_records(docs: DataFrame, artifact: str, cls: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigweave.functions import hashing
+
 
 def listing(spark: SparkSession, path: str, pattern: str, name_group: int | None = None, version_group: int = 1, name: str = "") -> DataFrame:
     """(path, name, version, content) of all files under path whose whole path matches the pattern."""
@@ -53,6 +55,12 @@ def jar_entries(archives: DataFrame, suffix: str = ".class") -> DataFrame:
     return archives.mapInPandas(run, "path string, name string, version string, entry string, content binary")
 
 
+def catalogued(archives: DataFrame, excluded_pattern: str = "^$") -> DataFrame:
+    """(library, version, digest, path, content): archives (path, name, version, content) with their content's hash, without those whose `name version` the pattern matches as a whole; an archive without a version or entries is left out."""
+    named = archives.withColumn("__n", F.concat_ws(" ", "name", "version")).where("name != '' AND version != '' AND length(content) > 0")
+    return excluded(named, "__n", excluded_pattern).select(F.col("name").alias("library"), "version", hashing.content_hash(F.col("content")).alias("digest"), "path", "content")
+
+
 def excluded(names: DataFrame, column: str, pattern: str = "^$") -> DataFrame:
     """Rows whose name the exclusion pattern doesn't match as a whole."""
     return names.where(~F.col(column).rlike(f"^(?:{pattern})$"))

@@ -47,17 +47,34 @@ def encode(classes: list[dict]) -> bytes:
     return zlib.compress(json.dumps(out, ensure_ascii=False, separators=(",", ":")).encode(), 9)
 
 
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """The artifact files under path, as (path, content, ...)."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{SUFFIX}").load(path)
+
+
+def read_representatives(spark: SparkSession, path: str) -> DataFrame:
+    """(artifact, cls, record) of the artifact files under path that stand for their content by their library's index.json; artifact is
+    `library version, version ...` with all versions of that content. Files of no index are left out."""
+    index = catalogue(spark, path).select(F.concat("library", F.lit("/"), "representative").alias("__at"), "name")
+    at = F.regexp_replace(F.regexp_replace("path", "^(?:.*/)?([^/]+/[^/]+)$", "$1"), F.lit(SUFFIX.replace(".", "\\.") + "$"), F.lit(""))
+    held = files(spark, path).withColumn("__at", at).join(F.broadcast(index), "__at")  # one row per version of a catalogue
+    return _opened(held.select(F.concat("name", F.lit(SUFFIX)).alias("path"), "content"))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(artifact, cls, record) of all artifact files under path; record is a class as JSON with full units."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{SUFFIX}").load(path)
+    name = F.regexp_replace("path", "^(?:.*/)?([^/]+/[^/]+)$", "$1")
+    return _opened(files(spark, path).select(name.alias("path"), "content"))
+
+
+def _opened(contents: DataFrame) -> DataFrame:
 
     def run(frames):
         for pdf in frames:
             rows = [(p.removesuffix(SUFFIX), c["name"], json.dumps(c)) for p, content in zip(pdf["path"], pdf["content"], strict=True) for c in decode(content)]
             yield pd.DataFrame(rows, columns=["artifact", "cls", "record"])
 
-    name = F.regexp_replace("path", "^(?:.*/)?([^/]+/[^/]+)$", "$1")
-    return files.select(name.alias("path"), "content").mapInPandas(run, "artifact string, cls string, record string")
+    return contents.mapInPandas(run, "artifact string, cls string, record string")
 
 
 def write(records: DataFrame, path: str) -> None:

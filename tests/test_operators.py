@@ -117,3 +117,28 @@ def test_normalisation(spark):
     assert tuple(r) == ("#", "<java.io.File: void run(int)>", "run(int)", True, "12.34560%", "# #x#", "lookupswitch (v) {1, 2}", [None])
     with pytest.raises(Exception, match="share"):
         row.select(normalise.percent(F.lit(1.5))).collect()
+
+
+def test_raw_weights_and_what_stays_unmatched(spark):
+    df = spark.createDataFrame([("g", "a", "x", -1.0), ("g", "a", "y", 5.0), ("g", "b", "y", 6.0), ("g", "b", "x", 4.5)], "g string, l string, r string, sim double")
+    best = assignment.assign(df, "g", "l", "r", raw=True)
+    assert {(r.l, r.r, r.sim) for r in best.collect()} == {("a", "y", 5.0), ("b", "x", 4.5)}
+    nodes = spark.createDataFrame([("g", x) for x in "abc"], "g string, l string")
+    assert [r.l for r in assignment.unmatched(nodes, best, ["g", "l"]).collect()] == ["c"]
+    assert sorted(r.l for r in assignment.matched(nodes, best, ["g", "l"]).collect()) == ["a", "b"]
+
+
+def test_common_subsequences():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        a, b = ([str(x) for x in rng.integers(0, 4, int(rng.integers(0, 12)))] for _ in range(2))
+        got = sequences.common(a, b)
+        assert len(got) == sequences.lcs(a, b)
+        for own in (a, b):
+            rest = iter(own)
+            assert all(x in rest for x in got)
+
+
+def test_progress_counts(spark):
+    df = spark.createDataFrame([(1, True), (1, False), (2, True), (4, False)], "round int, accepted boolean")
+    assert [tuple(r) for r in selection.progress(df).orderBy("round").collect()] == [(1, 2, 1), (2, 3, 2), (4, 4, 2)]
