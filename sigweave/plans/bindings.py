@@ -7,6 +7,7 @@ Sets: the parts of a customer's orders. Hierarchies: region, nation, market segm
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from sigweave.functions import hashing, normalise
 from sigweave.functions.formula import compile_formula
 from sigweave.operators import assignment, catalogue, detection, kgrams, lifting, rollup, selection, sequences, similarity, sketches, votes
-from sigweave.sources import signatures
+from sigweave.sources import archives, results, signatures
 from sigweave.sources.storage import materialise
 
 K = 5
@@ -500,6 +501,115 @@ def signature_instructions(spark, sf):
     return rows.select("artifact", "cls", "method", "block", "pos", "instr", F.array_join("ref_types", ",").alias("refs"), "has_inv", F.coalesce("ref_cls", F.lit("")).alias("callee"))
 
 
+# Matched methods: the event logs of users 2n and 2n + 1; their class is the user modulo 7, a unit's reference a type by event, its callee the user who is as many events on.
+SQL_LOGS = """e AS (SELECT user_id AS u, row_number() OVER w AS i, event_type AS t, CASE WHEN value < 20 THEN NULL WHEN value < 50 THEN 'X' || (event_id % 5) ELSE 'Y' END AS r, event_id % 3 AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT u, i, t || ' ' || lead(t, 1) OVER w || ' ' || lead(t, 2) OVER w AS h, [r, lead(r, 1) OVER w, lead(r, 2) OVER w] AS rs, [x, lead(x, 1) OVER w, lead(x, 2) OVER w] AS xs, lead(t, 2) OVER w AS last FROM e WINDOW w AS (PARTITION BY u ORDER BY i)),
+k AS (SELECT u, h, min(rs) AS rs, min(xs) AS xs FROM (SELECT u, h, rs, xs FROM g WHERE last IS NOT NULL) GROUP BY u, h HAVING count(*) = 1),
+z AS (SELECT u, count(*) AS w FROM e GROUP BY u), m AS (SELECT a.u AS l, b.u AS a, least(a.w, b.w) / greatest(a.w, b.w)::DOUBLE AS sim, a.w FROM z a JOIN z b ON a.u % 2 = 0 AND b.u = a.u + 1),
+q AS (SELECT m.*, c.h, c.rs AS lr, d.rs AS ar, c.xs AS lx, d.xs AS ax FROM m JOIN k c ON c.u = m.l JOIN k d ON d.u = m.a AND d.h = c.h),
+p AS (SELECT q.*, pos FROM q, (SELECT unnest([1, 2, 3]) AS pos) y)"""
+
+
+def shared_log_units(spark, sf) -> DataFrame:
+    """Units of 3-grams that stand once in each of two matched logs."""
+    events = table(spark, sf, "events")
+    ref = F.when(F.col("value") < 20, None).when(F.col("value") < 50, F.concat(F.lit("X"), (F.col("event_id") % 5).cast("string"))).otherwise("Y")
+    unit = F.struct(F.col("event_type").alias("instr"), F.array(ref).alias("refs"), (F.col("event_id") % 3 < 2).alias("invokes"), (F.col("user_id") % 7).alias("ref_cls"), (F.col("event_id") % 3).alias("ref_idx"))
+    grams = kgrams.ordered_kgrams(events.withColumn("unit", unit), "user_id", ["ts", "event_id"], "unit", 3)
+    once = grams.groupBy("user_id", F.array_join("kgram.instr", " ").alias("h")).agg(F.count("*").alias("n"), F.first("kgram").alias("kgram")).where("n = 1")
+    units = once.select("user_id", "h", F.posexplode("kgram").alias("pos", "unit"))
+    sizes = events.groupBy("user_id").agg(F.count("*").alias("n"))
+    l, a = sizes.select(F.col("user_id").alias("l"), F.col("n").alias("w")), sizes.select(F.col("user_id").alias("a"), F.col("n").alias("m"))  # noqa: E741
+    pairs = l.where("l % 2 = 0").join(a, F.col("a") == F.col("l") + 1)
+    pairs = pairs.select("l", "a", "w", (F.least("w", "m") / F.greatest("w", "m")).alias("sim"), F.lit(0.5).alias("class_sim"), F.lit("Y").alias("a_class"), (F.col("a") % 3 == 0).alias("constructor"))
+    return votes.shared_kgrams(pairs, units.withColumnRenamed("user_id", "l"), units.withColumnRenamed("user_id", "a"))
+
+
+@query(f"""WITH {SQL_LOGS}, v AS (SELECT lr[pos] AS k, ar[pos] AS v, w * sim * 0.5 AS score, w FROM p WHERE lr[pos] IS NOT NULL AND ar[pos] IS NOT NULL AND sim * 0.5 >= 0.3 AND NOT (a % 3 = 0 AND ar[pos] = 'Y'))
+SELECT k, v, count(*) AS n, round(sum(score), 6) AS score, sum(w)::BIGINT AS weight FROM v GROUP BY k, v""")
+def code_votes(spark, sf):
+    cast = votes.code_votes(shared_log_units(spark, sf), least=0.3)
+    return cast.groupBy("k", "v").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"), F.sum("weight").alias("weight"))
+
+
+@query(f"""WITH {SQL_LOGS} SELECT (l % 7)::BIGINT AS cls, lx[pos]::BIGINT AS k, ax[pos]::BIGINT AS v, count(*) AS n, round(sum(w * sim * 0.5), 6) AS score FROM p WHERE lx[pos] < 2 AND ax[pos] < 2 AND a % 7 = (l + 1) % 7 AND l % 7 <> 6 GROUP BY ALL""")
+def call_votes(spark, sf):
+    matching = spark.range(6).select(F.col("id").alias("l_class"), (F.col("id") + 1).alias("a_class"))
+    cast = votes.call_votes(shared_log_units(spark, sf), matching)
+    return cast.groupBy("cls", "k", "v").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"))
+
+
+SQL_ORDERS = """o AS (SELECT o_custkey AS c, o_orderkey AS k, o_totalprice AS w, o_orderpriority AS pr, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS i FROM orders),
+m AS (SELECT a.c AS l, b.c AS a, CASE WHEN a.pr = b.pr THEN 1.0 ELSE 0.25 END::DOUBLE AS sim, a.w FROM o a JOIN o b ON a.c % 2 = 0 AND b.c = a.c + 1 AND b.i = a.i), z AS (SELECT c AS l, sum(w) AS weight FROM o GROUP BY c),
+s AS (SELECT z.l, z.weight, coalesce(sum(m.sim * m.w) / any_value(z.weight), 0) AS sim FROM z LEFT JOIN m USING (l) WHERE z.l % 2 = 0 GROUP BY z.l, z.weight)"""
+
+
+def matched_orders(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Orders of customers 2n and 2n + 1 matched by their rank, as methods of classes; and the classes' weights."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c"), F.col("o_totalprice").alias("w"), F.col("o_orderpriority").alias("p"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("i"))
+    b = o.select((F.col("c") - 1).alias("l"), F.col("p").alias("q"), "i")
+    pairs = o.where("c % 2 = 0").withColumnRenamed("c", "l").join(b, ["l", "i"]).select("l", "w", F.when(F.col("p") == F.col("q"), 1.0).otherwise(0.25).alias("sim"))
+    return pairs, o.where("c % 2 = 0").groupBy(F.col("c").alias("l")).agg(F.sum("w").alias("weight"))
+
+
+@query(f"WITH {SQL_ORDERS} SELECT l, round(CASE WHEN sim < 0.1 THEN 0 ELSE sim END, 6) AS sim FROM s")
+def class_similarity(spark, sf):
+    return votes.class_similarity(*matched_orders(spark, sf), ["l"]).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"""WITH {SQL_ORDERS}, g AS (SELECT l, weight, l % 10 AS lib, CASE WHEN sim < 0.1 THEN 0 ELSE sim END AS sim FROM s), y AS (SELECT lib, sum(weight) AS size, sum(CASE WHEN sim > 0 THEN weight END) AS w, sum(CASE WHEN sim > 0 THEN weight * sim END) AS t FROM g GROUP BY lib)
+SELECT lib, round(t / w, 6) AS match, round(w / size, 6) AS cover, coalesce((t / w) * (w / size) >= greatest(0.1, 0.7 - 0.15 * log10(greatest(1, size / 1000))), false) AS found FROM y""")
+def match_and_cover(spark, sf):
+    """Ten libraries of customers: what their matched classes cover, and whether that is enough."""
+    pairs, weights = matched_orders(spark, sf)
+    sims = votes.class_similarity(pairs, weights, ["l"]).join(weights, "l").select((F.col("l") % 10).alias("lib"), "sim", F.col("weight").alias("w"))
+    totals = sims.groupBy("lib").agg(F.sum("w").alias("size"))
+    found = votes.match_and_cover(sims.where("sim > 0"), totals, ["lib"], selection.detection_threshold(F.col("size") / 1000))
+    return found.withColumns({c: F.round(c, 6) for c in ("match", "cover")})
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, (c_acctbal + 1000) / 11000 AS sim, c_custkey % 50 AS w FROM customer)
+SELECT k.n_name AS k, v.n_name AS v, count(*) AS n, round(sum(w * sim), 6) AS score, sum(w)::BIGINT AS weight FROM c a JOIN (SELECT c_custkey - 1 AS k, c_nationkey AS n FROM customer) b USING (k) JOIN nation k ON k.n_nationkey = a.n JOIN nation v ON v.n_nationkey = b.n WHERE k.n_regionkey > 0 AND v.n_regionkey < 4 AND sim >= 0.2 AND w * sim > 0 GROUP BY ALL""")
+def superclass_votes(spark, sf):
+    customer, nation = table(spark, sf, "customer"), table(spark, sf, "nation")
+    of = lambda name, c: nation.select(F.col("n_nationkey").alias(f"{name}_n"), F.when(c, F.col("n_name")).alias(f"{name}_super"))
+    a = customer.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("l_n"), ((F.col("c_acctbal") + 1000) / 11000).alias("sim"), (F.col("c_custkey") % 50).alias("w"))
+    b = customer.select((F.col("c_custkey") - 1).alias("k"), F.col("c_nationkey").alias("a_n"))
+    pairs = a.join(b, "k").join(of("l", F.col("n_regionkey") > 0), "l_n").join(of("a", F.col("n_regionkey") < 4), "a_n")
+    return votes.superclass_votes(pairs, least=0.2).groupBy("k", "v").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"), F.sum("weight").alias("weight"))
+
+
+@query(f"WITH {SQL_SHARES}, kept AS (SELECT * FROM o WHERE depth = 0 OR own <> 0 OR children <> 1), up AS (SELECT a.prefix, count(*) AS depth FROM kept a JOIN kept b ON a.prefix <> b.prefix AND (b.prefix = '' OR starts_with(a.prefix, b.prefix || '.')) GROUP BY a.prefix) SELECT kept.prefix, repeat('  ', coalesce(up.depth, 0)::INT) || CASE WHEN kept.prefix = '' THEN '<default package>' ELSE kept.prefix END || printf(' %.5f%%', own * 100 / total::DOUBLE) || CASE WHEN children > 0 THEN printf(' (%.5f%%)', weight * 100 / total::DOUBLE) ELSE '' END AS line FROM kept LEFT JOIN up USING (prefix)")
+def pkg_report_collapsed(spark, sf):
+    return rollup.rendered(rollup.own_share(tree(spark, sf)), collapse=True)
+
+
+@query("WITH r AS (SELECT (o_orderkey % 9)::INT AS round, count(*) AS n, count(*) FILTER (o_totalprice > 1000) AS k FROM orders GROUP BY 1) SELECT round, (sum(n) OVER w)::BIGINT AS scanned, (sum(k) OVER w)::BIGINT AS accepted FROM r WINDOW w AS (ORDER BY round)")
+def progress_counts(spark, sf):
+    return selection.progress(table(spark, sf, "orders").select((F.col("o_orderkey") % 9).cast("int").alias("round"), (F.col("o_totalprice") > 1000).alias("accepted")))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE NOT regexp_full_match(p_name, '(small|red) .*|.*bolt')")
+def excluded_names(spark, sf):
+    return archives.excluded(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "(small|red) .*|.*bolt")
+
+
+@query(f"""WITH {SQL_ITEM_GRAMS}, {SQL_HASHES.replace("FROM documents", "FROM (SELECT item_id AS doc_id, text, item_id::VARCHAR AS source, '' AS lang FROM benchmark)")}, b5 AS (SELECT source::BIGINT AS item_id, unnest({list(sketches.PRIMES)}) AS prime, h FROM h5)
+SELECT item_id, prime::INT AS prime, count(DISTINCT h % prime) AS bits_set FROM b5 GROUP BY item_id, prime""")
+def class_bit_sets(spark, sf):
+    """The five sketches of each item, by the number of their bits."""
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    parts = [sketches.text_bits(items, "text", K, p).groupBy("item_id").agg(F.count("*").alias("bits_set")).select("item_id", F.lit(p).alias("prime"), "bits_set") for p in sketches.PRIMES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("""WITH r AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 1000 / 1000.0::DOUBLE AS match, o_orderkey % 10 / 10.0::DOUBLE AS cover, o_orderstatus = 'F' AS ok FROM orders)
+SELECT k, 'c' || c || ': o' || k || printf(' match %.5f%%, coverage %.5f%%', match * 100, cover * 100) || CASE WHEN ok THEN '' ELSE ' (alternative)' END AS line FROM r""")
+def detection_report(spark, sf):
+    rows = table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("app"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("library"), (F.col("o_orderkey") % 1000 / 1000).alias("match"), (F.col("o_orderkey") % 10 / 10).alias("cover"), (F.col("o_orderstatus") == "F").alias("accepted"), F.lit(1).alias("round"))
+    return results.report(rows).select(F.regexp_extract("line", ": o([0-9]+) ", 1).cast("long").alias("k"), "line")
+
+
 # ---------------------------------------------------------------- no SQL counterpart
 
 
