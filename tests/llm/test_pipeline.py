@@ -73,3 +73,26 @@ def test_run_and_clashing_columns(spark, tables):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         more = spark.createDataFrame(stage(spark, more, SF).collect(), more.schema)
         assert more.count() > 0
+
+
+def test_null_ids_repeated_rows_and_empty_tables(spark):
+    """Toxic texts go whatever their id, of equal texts one row stays whatever the ids, clean and wordless rows stay, and an empty table gives an empty one."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    clean = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text and 40 < len(r.text.split()) < 300][:30]
+    odd = [(None, None, None, None, None), (None, "", "en", "src1", 0), (7, None, "en", None, 0), (7, " \t ", None, "src1", 3), (None, "two different words", "en", "src2", 19), (None, "short rows of other words", None, None, 25)]
+    odd += [(None, "two different words", "en", "src2", 19)] * 3 + [(7, "short rows of other words", "fr", "src1", 25)]
+    docs = spark.createDataFrame([tuple(r) for r in clean] + odd, schema)
+    toxicity_filter, near, substring, mix, pack = (stage for _, stage in corpus_pipeline.STAGES)
+    rows = sorted(map(str, toxicity_filter(spark, docs, SF).collect()))
+    assert len(rows) >= len(odd) and set(rows) <= set(map(str, docs.collect()))
+    kept = near(spark, docs, SF).collect()
+    assert sum(r.text is None for r in kept) == 2 and sum(r.text is not None and not r.text.split() for r in kept) == 2  # wordless rows stay
+    assert [(r.doc_id, r.text) for r in kept if r.text and "rows of other" in r.text] == [(7, "short rows of other words")]  # the id that is one comes first
+    assert sum(r.text == "two different words" for r in kept) == 1
+    assert sorted((str(tuple(r)) for r in substring(spark, docs.where("length(text) < 40 OR text IS NULL"), SF).collect())) == sorted(map(str, odd))
+    mixed = mix(spark, docs, SF).collect()
+    assert {r.source for r in mixed} <= {r.source for r in docs.collect()} and None in {r.source for r in mixed}
+    packed = pack(spark, docs, SF).collect()
+    assert sum(r.piece == 0 for r in packed) == len(clean) + len(odd)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
