@@ -2,6 +2,10 @@
 
 Each stage is a function of (spark, docs, sf_dir). What it returns is written and read again as the next one's docs.
 All but the last return the columns of documents.
+
+Defined results, beyond those that each operator states: rows may share an id or have none, and are judged each by their own text;
+null and empty texts are never toxic, no near duplicates, have nothing to take out, add no words to the mix and pack as one end
+token; null sources are a source; labels of documents that aren't there teach nothing; an empty table gives an empty one.
 """
 
 from __future__ import annotations
