@@ -64,3 +64,19 @@ def test_dice_of_equal_sets(spark):
     want = {(a, b, len(sets[a] & sets[b]), 2 * len(sets[a] & sets[b]) / (len(sets[a]) + len(sets[b]))) for a in sets for b in sets if a < b and sets[a] & sets[b]}
     assert {tuple(r) for r in similarity.dice_self_join(df, "k").collect()} == want
     assert {tuple(r) for r in similarity.dice_self_join(df, "k", least=0.7).collect()} == {w for w in want if w[3] > 0.7}
+
+
+@pytest.mark.parametrize("hot", [0, 3, 12, 1000])
+@pytest.mark.parametrize("least", [0.0, 0.1, 0.5, 0.8])
+def test_dice_with_frequent_elements(spark, hot, least):
+    rng = np.random.default_rng(7)
+    sets = {}
+    for k in range(60):
+        common = [int(x) for x in rng.permutation(12)[: int(rng.integers(0, 13))]]  # elements that most sets have
+        sets[k] = {*common, *(int(x) for x in rng.integers(100, 160, int(rng.integers(0, 12))))}
+    sets[60], sets[61], sets[62] = set(range(12)), set(range(11)), {5}
+    df = spark.createDataFrame([(k, h) for k, s in sets.items() for h in s], "k int, h long")
+    dice = lambda a, b: 2 * len(sets[a] & sets[b]) / max(1, len(sets[a]) + len(sets[b]))
+    want = {(a, b, len(sets[a] & sets[b]), dice(a, b)) for a in sets for b in sets if a < b and sets[a] & sets[b] and dice(a, b) > least}
+    got = [tuple(r) for r in similarity.dice_self_join(df, "k", least=least, hot=hot).collect()]
+    assert set(got) == want and len(got) == len(want)
