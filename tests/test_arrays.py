@@ -66,8 +66,8 @@ def test_dice_of_equal_sets(spark):
     assert {tuple(r) for r in similarity.dice_self_join(df, "k", least=0.7).collect()} == {w for w in want if w[3] > 0.7}
 
 
-@pytest.mark.parametrize("hot", [0, 3, 12, 1000])
-@pytest.mark.parametrize("least", [0.0, 0.1, 0.5, 0.8])
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+@pytest.mark.parametrize("least", [0.0, 0.1, 0.8])
 def test_dice_with_frequent_elements(spark, hot, least):
     rng = np.random.default_rng(7)
     sets = {}
