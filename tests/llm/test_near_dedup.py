@@ -78,6 +78,50 @@ def test_large_group_of_near_copies(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 4)
 
 
+def roots(nodes, edges):
+    """The smallest member of each node's component."""
+    up = {n: n for n in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    return {n: root(n) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pivots_and_tiles_join_what_all_pairs_join(spark, seed):
+    """Groups over and under the tile, of one cluster, of several, of chains, and of strangers."""
+    rng = np.random.default_rng(seed)
+    sets, rows = {}, []
+    for g, n in enumerate([1, 2, 8, 9, 30, 61, 120]):
+        base = [rng.integers(0, 2**63, 40, dtype=np.uint64) for _ in range(3)]
+        for i in range(n):
+            if g % 2:  # a chain: each like the one before it
+                base[0] = np.concatenate([base[0][2:], rng.integers(0, 2**63, 2, dtype=np.uint64)])
+                own = base[0]
+            else:
+                own = base[int(rng.integers(3))].copy()
+                own[rng.integers(0, 40, int(rng.integers(0, 8)))] = rng.integers(0, 2**63, dtype=np.uint64)
+            cls = b"%d-%d" % (g, i)
+            sets[cls] = np.unique(own)
+            rows.append((g, cls, sets[cls].tobytes()))
+    df = spark.createDataFrame(rows, "g int, cls binary, v binary")
+    got = near_dedup.joined(df, "g", near_dedup.Sets, (80, 100), tile=8).collect()
+    links = [(a, b) for g, a, _ in rows for h, b, _ in rows if g == h and a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    assert len(links) > 500
+    assert roots(sets, [(bytes(r.a), bytes(r.b)) for r in got]) == roots(sets, links)
+
+
+def test_long_texts_are_counted_exactly():
+    x = [np.arange(70_000, dtype=np.uint64), np.arange(10, 69_000, dtype=np.uint64)]
+    assert near_dedup.intersections(x, x).tolist() == [[70_000, 68_990], [68_990, 68_990]]
+
+
 def test_representatives(spark):
     rows = [(4, "one two three four five six"), (2, "One two three four five six"), (7, None), (8, ""), (9, "other words that stand alone here")]
     df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
@@ -96,7 +140,7 @@ def test_odd_sketch_estimates_similarity():
             sets = [np.concatenate([shared, rng.integers(0, 2**63, int(1000 * (1 - j) / 2), dtype=np.uint64)]) for _ in range(2)]
             a, b = near_dedup.odd_sketches(near_dedup.min_values([np.unique(x << np.uint64(1)) for x in sets]))
             z = int(np.bitwise_count(a ^ b).sum())
-            assert z <= 2 * near_dedup.MAX_DIFFER
+            assert z <= near_dedup.most_bits()
             errors.append(float(near_dedup.estimate(z)) - j)
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.06
 
