@@ -5,6 +5,8 @@ Hashes have 64 bits and depend on nothing but their input, so that tasks that ru
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +16,17 @@ _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20):
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+
+
+def give_back() -> None:
+    """Returns to the system what a worker that goes on living holds but doesn't use."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
     """Slices of a batch with about `limit` bytes of text at most, or one row."""
     n = batch.num_rows
     if not n:
@@ -27,6 +39,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 2
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
 
 
 def listed(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
