@@ -111,10 +111,12 @@ def kgram_cfg(spark, sf):
     return kgrams.graph_kgrams(nodes, following, 3).select(F.col("entity").alias("user_id"), F.array_join("kgram", " ").alias("gram"), "n")
 
 
+# A control-flow graph as (units, blocks that follow), and the multiset of its walks of five units.
 FIXTURE_BLOCKS = [("A B", (1, 4, 5)), ("C D", (2, 3)), ("E F G", (3,)), ("H", (6,)), ("C", (4, 5)), ("D E", (6,)), ("R", ())]
+FIXTURE_GRAMS = "ABCDE ABCDH ABCCC ABCCD ABCDE ABDER BCDEF BCDHR BCCCC BCCCD BCCDE BCDER CDEFG DEFGH EFGHR CCCCC CCCCD CCCDE CCDER"
 
 
-@query("SELECT gram, count(*) AS n FROM (SELECT unnest(string_split('ABCDE ABCDH ABCCC ABCCD ABCDE ABDER BCDEF BCDHR BCCCC BCCCD BCCDE BCDER CDEFG DEFGH EFGHR CCCCC CCCCD CCCDE CCDER', ' ')) AS gram) GROUP BY gram")
+@query(f"SELECT gram, count(*) AS n FROM (SELECT unnest(string_split('{FIXTURE_GRAMS}', ' ')) AS gram) GROUP BY gram")
 def kgram_fixture(spark, sf):
     blocks = spark.createDataFrame([(0, i, u.split()) for i, (u, _) in enumerate(FIXTURE_BLOCKS)], "entity int, block int, units array<string>")
     edges = spark.createDataFrame([(0, i, d) for i, (_, s) in enumerate(FIXTURE_BLOCKS) for d in s], "entity int, src int, dst int")
