@@ -21,8 +21,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that the classifier (9) doesn't find toxic. It learns from labelled documents of this table, without those whose fold is held out."""
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", "toxic")
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    scored = toxicity.score(docs.select(F.struct("*").alias("__doc"), F.col("text").alias("__text")), model, "__text")
-    return scored.where("predicted = 0").select("__doc.*")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__doc")
+    scored = toxicity.score(docs.select(rest, F.col("text").alias("__text")), model, "__text").where("predicted = 0")
+    return scored.select(*[F.col("__text").alias(c) if c == "text" else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
