@@ -237,7 +237,8 @@ def pack(rows: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Data
     plan = best_fit_plan(counts, capacity)
     lead = groups.withColumn("__lead", F.sum("__n").over(Window.partitionBy("length").orderBy("__part")) - F.col("__n")).drop("__n")
     rank = F.row_number().over(Window.partitionBy("__part", "length").orderBy(key, "piece", "ids_crc32")) - 1
-    ranked = rows.withColumn("__rank", rank).join(lead, ["__part", "length"]).withColumn("__rank", F.col("__rank") + F.col("__lead")).drop("__part", "__lead")
+    # rows are dealt and sorted for their ranks as the join wants them; the small side, which grows with the partitions, is never sent to all tasks
+    ranked = rows.withColumn("__rank", rank).join(lead.hint("merge"), ["__part", "length"]).withColumn("__rank", F.col("__rank") + F.col("__lead")).drop("__part", "__lead")
     schema = T.StructType([*ranked.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     order = np.lexsort((plan[:, 1], plan[:, 0]))
     plan = plan[order]
