@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigweave.functions.arrays import give_back
+
 from .common import materialise, text_slices
 
 LEVEL = 6  # of compression
@@ -100,3 +102,4 @@ def one_by_one(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: column[i] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+        give_back()

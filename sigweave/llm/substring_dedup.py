@@ -39,7 +39,7 @@ STAGE_WINDOW = 40
 ANCHORS_A_BUCKET = 1_000_000
 NO_ID = 2**63 - 1
 SPARE_BITS = 14  # of a window's hash, beyond twice what it takes to number the corpus's bytes
-SLICE = 8 << 20
+SLICE = 4 << 20
 NEW = ("n_words", "n_removed", "kept")
 
 # Perfect difference sets, modulus -> cover.
