@@ -22,14 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
-    """df as a table written once to the shared folder: its rows are fixed from here on and its lineage ends.
+def materialise(df: DataFrame, compression: str | None = None, **options: str) -> DataFrame:
+    """df as a table written once to the shared folder, with options of the Parquet writer: its rows are fixed from here on and its lineage ends.
 
     The files live until release() or the end of the driver's process.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sigweave/{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     if not _written:
         atexit.register(lambda: [_remove(s, p) for p, s in _written.items()])
     _written[path] = spark
