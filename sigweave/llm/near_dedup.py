@@ -343,7 +343,7 @@ def _by_pivots(rows: DataFrame, n: int, group: str, kind, similar: tuple[int, in
     left = F.when(F.col("rest"), F.transform(every("n"), lambda t: F.struct(at("m", 18).alias("low"), t.alias("high"), F.lit(True).alias("left"))))
     right = F.transform(every("m"), lambda t: F.struct(t.alias("low"), at("n", 19).alias("high"), F.lit(False).alias("left")))
     spread = placed.select(group, "cls", "v", F.explode(F.when(F.col("rest"), F.concat(left, right)).otherwise(right)).alias("t"))
-    tiled = spread.select(group, "t.low", "t.high", "t.left", "cls", "v").repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
+    tiled = spread.select(group, "t.low", "t.high", "t.left", "cls", "v").repartitionByRange(group, "low", "high").sortWithinPartitions(group, "low", "high")  # by range: tiles spread evenly
 
     def meet_rest(batches):
         for rows, edges in _groups(batches, 3):
