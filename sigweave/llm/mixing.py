@@ -6,9 +6,10 @@ that range is sorted to find the cut itself. A document is then taken by compari
 Budgets over a source's size repeat it: whole epochs first, then the part up to the cut.
 
 Data moved: one small row per (source, key range), one range per source, and the cuts (one row per source), which
-are broadcast only up to MAX_BROADCAST sources.
+are broadcast only up to MAX_BROADCAST sources. What depends on all sources at once (their order, and the level at
+which targets stop) sorts one row per source in one task, which spills; documents never pass through it.
 
-Defined results: null text has size 0; a null source is a source of its own, last in order; a source of size 0 has
+Defined results: null text has size 0; texts of any length are counted whole; a null source is a source of its own, last in order; a source of size 0 has
 target 0; equal rows (same key, id and size) at a cut share what is left evenly, rounded down; an empty table gives
 no rows; other columns play no part.
 """
