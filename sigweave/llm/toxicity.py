@@ -9,10 +9,10 @@ fewer). Texts stay on the executors: the driver gets the learned lexicon (words
 row of features per sampled document. Rows get features from a lexicon that other thirds of the sample taught, trees are
 calibrated on thirds that they haven't seen.
 
-Defined results: null text counts as empty and is scored; labels that are null or belong to no document teach nothing;
+Defined results: null text counts as empty and is scored; texts of any length are read whole; labels that are null or belong to no document teach nothing;
 a document with several labels is toxic if one says so; without toxic labels every score is the share of toxic
 labels, 0 if there are none; repeated rows are scored each; an empty table gives no rows; a null id folds as an empty
-text and has no label; other columns play no part.
+text and has no label; other columns play no part; a column of docs with the name of a new one gives way.
 """
 
 from __future__ import annotations
@@ -90,33 +90,36 @@ def text_features(texts: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
         run = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
         return run[bounds[1:]] - run[bounds[:-1]]
 
+    def of(k: int) -> np.ndarray:
+        """Feature k of every word; one feature's numbers at a time."""
+        return each[:, k][codes]
+
     some, words_n = n > 0, np.maximum(n, 1)
-    own = each[codes]
-    out[:, 0] = total(own[:, 0]) / words_n
+    odds = of(0)
+    out[:, 15] = total(odds)
+    out[:, 0] = out[:, 15] / words_n
     if some.any():
-        out[some, 1] = np.maximum.reduceat(own[:, 0], bounds[:-1][some])
-    out[:, 2] = total(own[:, 1])
+        out[some, 1] = np.maximum.reduceat(odds, bounds[:-1][some])
+    out[:, 14] = total((odds > 0).astype(np.float32))
+    del odds
+    strong, insult, you = of(1), of(2), of(3)
+    out[:, 2] = total(strong)
     out[:, 3] = out[:, 2] / words_n
-    out[:, 4] = total(own[:, 2])
+    out[:, 4] = total(insult)
     out[:, 5] = out[:, 4] / words_n
     # lexicon words with a second-person word of the same text within NEAR words
-    hit = np.flatnonzero((own[:, 1] > 0) | (own[:, 2] > 0))
-    second = np.flatnonzero(own[:, 3] > 0)
-    near = np.zeros(len(codes), np.float32)
+    hit, second = np.flatnonzero((strong > 0) | (insult > 0)), np.flatnonzero(you > 0)
+    out[:, 7] = total(you) / words_n
+    del strong, insult, you
     if len(hit) and len(second):
+        near = np.zeros(len(codes), np.float32)
         owner = np.searchsorted(bounds, hit, side="right") - 1
         low, high = np.maximum(hit - NEAR, bounds[owner]), np.minimum(hit + NEAR + 1, bounds[owner + 1])
         near[hit] = np.searchsorted(second, high) > np.searchsorted(second, low)
-    out[:, 6] = total(near)
-    out[:, 7] = total(own[:, 3]) / words_n
-    out[:, 8] = total(own[:, 4]) / words_n
-    out[:, 9] = total(own[:, 5]) / words_n
-    out[:, 10] = total(own[:, 6]) / words_n
-    out[:, 11] = total(own[:, 7]) / words_n
-    out[:, 12] = total(own[:, 8]) / words_n
+        out[:, 6] = total(near)
+    for column, k in ((8, 4), (9, 5), (10, 6), (11, 7), (12, 8)):
+        out[:, column] = total(of(k)) / words_n
     out[:, 13] = np.log1p(n)
-    out[:, 14] = total((own[:, 0] > 0).astype(np.float32))
-    out[:, 15] = total(own[:, 0])
     return out
 
 
