@@ -9,9 +9,9 @@ Frame starts are found by their sync codes, header checksums and running numbers
 take (several Rice partitions, escapes, other sample sizes, a sync code within data) goes to a plain reader of one
 stream, so that any mono stream of the format is read. Streams that fail a checksum raise CorruptStream.
 
-Defined results: null text is an empty one; a payload is its UTF-8 bytes and zeros up to a positive multiple of
-PAD; equal payloads give equal streams, whatever stands beside them; repeated rows are stored each; an empty table
-gives no rows; other columns are left out.
+Defined results: null text is an empty one; texts of any length are stored whole, frame by frame; a payload is its
+UTF-8 bytes and zeros up to a positive multiple of PAD; equal payloads give equal streams, whatever stands beside
+them; repeated rows are stored each; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -667,5 +667,5 @@ def features(media: DataFrame, key: str = "doc_id", column: str = "media", block
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = materialise(store(table(spark, sf_dir, "documents").select("doc_id", "text")), "zstd")
+    media = materialise(store(table(spark, sf_dir, "documents").select("doc_id", "text")), "zstd", **{"parquet.compression.codec.zstd.level": "9"})
     return features(media)

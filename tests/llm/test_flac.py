@@ -144,7 +144,7 @@ def test_features_and_media_columns_are_those_of_what_is_stored(spark):
 
 def test_media_are_written_before_they_are_read(spark, monkeypatch):
     written = []
-    monkeypatch.setattr(flac, "materialise", lambda df, how: written.append(materialise(df, how)) or written[-1])
+    monkeypatch.setattr(flac, "materialise", lambda df, how, **more: written.append(materialise(df, how, **more)) or written[-1])
     rows = flac.query(spark, "/root/testdata/sf0.001")
     assert rows.count() == written[0].count() and written[0].columns == ["doc_id", "n_bytes", "media"]
 
