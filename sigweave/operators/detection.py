@@ -14,7 +14,7 @@ import json
 import pickle
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -103,10 +103,13 @@ def paths(blocks: list[list], follows: dict[int, list[int]], k: int):
                 yield from walk(n, 0, done)
 
     for b, units in enumerate(blocks):
-        for i in range(len(units)):
+        for i in range(len(units) - k + 1):
+            yield units[i : i + k]
+        for i in range(max(0, len(units) - k + 1), len(units)):  # what leaves the block
             yield from walk(b, i, [])
 
 
+@lru_cache(maxsize=1 << 18)
 def _hash(text: str) -> int:
     h = 0
     for c in text:
