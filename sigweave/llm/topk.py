@@ -3,8 +3,8 @@
 Rows are dealt by their place to shards of about SHARD_ROWS rows; each shard is planted once, as one row with its tree: the
 vectors in order of the leaves, and each node's centre, radius and smallest id. Queries are written once, in blocks of
 BLOCK_ROWS, and blocks go to shards, never vectors to queries: a task reads a shard's tree and then its blocks one by one.
-A search takes tree nodes in order of their upper bound q.c + |q|r, and skips those under the query's current k-th
-score. That score is shared: shards are searched in waves, each WAVE times as many as those before it, and a wave starts
+A block of queries takes the leaves in order of their largest upper bound q.c + |q|r; a leaf is multiplied at once with
+the queries whose bound for it is not under their current k-th score. That score is shared: shards are searched in waves, each WAVE times as many as those before it, and a wave starts
 from the k-th scores of all waves before, so that shards return only rows that can still be among the k best.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; vectors of another length
@@ -130,6 +130,51 @@ class BallTree:
                     worst = min(worst, best[-1])
         return best
 
+    def search_all(self, own: np.ndarray, q: np.ndarray, k: int, floors: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """search() of all queries q at once: (query, id, score), best first. floors: the least score asked of some, by their place.
+
+        Leaves are taken in order of their largest bound among the queries that still need them; a leaf is multiplied
+        with all those at once.
+        """
+        n = len(own)
+        ids, scores = np.full((n, k), _LAST), np.full((n, k), -math.inf)
+        leaves = np.array([i for i, node in enumerate(self.nodes) if node[2] < 0], np.int64)
+        if not len(leaves) or not n:
+            return (np.zeros(0, np.int64),) * 3
+        bound = self.bounds(q)[:, leaves]
+        exact = np.abs(self.x).max(initial=0) * max(1.0, np.abs(q).max(initial=0)) * self.x.shape[1] < 2**53
+        if not exact:  # one by one, in whole numbers of any size
+            full = self.bounds(q)
+            found = [(i, other, -minus) for i in range(n) for minus, other in self.search(int(own[i]), q[i], full[i], k, floors.get(i))]
+            return tuple(np.array([f[c] for f in found], np.int64) for c in range(3))
+        worst = np.full(n, -math.inf)  # no score under it can be among the k best
+        for i, floor in floors.items():
+            worst[i] = floor
+        for at in np.argsort(-bound.max(0), kind="stable").tolist():
+            ask = np.flatnonzero(bound[:, at] >= worst)
+            if not len(ask):
+                continue
+            a, b, _, _ = self.nodes[leaves[at]]
+            got = q[ask] @ self.x[a:b].T
+            got[self.ids[None, a:b] == own[ask][:, None]] = -math.inf
+            got[got < worst[ask][:, None]] = -math.inf
+            some = np.flatnonzero(got.max(1) > -math.inf)
+            if not len(some):
+                continue
+            rows, got = ask[some], got[some]
+            i, j = np.nonzero(got > -math.inf)
+            row = np.concatenate([np.repeat(np.arange(len(rows)), k), i])
+            other = np.concatenate([ids[rows].ravel(), self.ids[a + j]])
+            value = np.concatenate([scores[rows].ravel(), got[i, j]])
+            order = np.lexsort((other, -value, row))
+            row, other, value = row[order], other[order], value[order]
+            start = np.searchsorted(row, np.arange(len(rows)))
+            best = start[:, None] + np.arange(k)
+            ids[rows], scores[rows] = other[best], value[best]
+            worst[rows] = np.maximum(worst[rows], scores[rows, k - 1])
+        i, j = np.nonzero(scores > -math.inf)
+        return i, ids[i, j], scores[i, j].astype(np.int64)
+
 
 def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     good = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
@@ -174,11 +219,10 @@ def top_k(vectors: DataFrame, is_query: Column | None = None, key: str = "vec_id
     def answers(tree: BallTree, row: dict) -> pa.RecordBatch:
         ids = np.frombuffer(row["qids"], np.int64)
         q = large(row["q"]).reshape(len(ids), row["__dim"])
-        floors = dict(row["floors"] or ())
-        bounds, out = tree.bounds(q), []
-        for i, own in enumerate(ids.tolist()):
-            out += [(row["__dim"], row["__block"], i, own, other, -minus) for minus, other in tree.search(own, q[i], bounds[i], k, floors.get(i))]
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(FOUND)], schema=FOUND)
+        floors = {known["at"]: known["floor"] for known in row["floors"] or ()}
+        i, other, score = tree.search_all(ids, q, k, floors)
+        same = lambda v: pa.array(np.full(len(i), v, np.int32))
+        return pa.RecordBatch.from_arrays([same(row["__dim"]), same(row["__block"]), pa.array(i.astype(np.int32)), pa.array(ids[i]), pa.array(other), pa.array(score)], schema=FOUND)
 
     def meet(low: int, high: int, floors: DataFrame | None) -> DataFrame:
         """Every block against the shards low .. high - 1."""

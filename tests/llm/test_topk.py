@@ -84,3 +84,18 @@ def test_tree_search_equals_a_scan():
         want = sorted((-int(s), j) for j, s in enumerate(x @ q[i]) if j != i)[:5]
         assert tree.search(i, q[i], bounds[i], 5, None) == want
         assert tree.search(i, q[i], bounds[i], 5, -want[2][0]) == [p for p in want if p[0] <= want[2][0]]
+
+
+def test_a_block_of_queries_equals_one_by_one():
+    rng = np.random.default_rng(4)
+    for scale in (3, 20, 1e12):  # with ties, without, and beyond what floats hold
+        x = np.floor(rng.normal(size=(400, 5)) * scale)
+        q = np.floor(rng.normal(size=(30, 5)) * scale)
+        own, tree = rng.integers(0, 400, 30), topk.BallTree(np.arange(400), x, leaf=16)
+        bounds, floors = tree.bounds(q), {}
+        for _ in range(2):
+            want = [(i, other, -minus) for i in range(30) for minus, other in tree.search(int(own[i]), q[i], bounds[i], 5, floors.get(i))]
+            assert list(zip(*(c.tolist() for c in tree.search_all(own, q, 5, floors)), strict=True)) == want
+            floors = {n: [s for i, _, s in want if i == n][2] for n in range(0, 30, 2)}
+    few = topk.BallTree(np.arange(3), np.eye(3))
+    assert few.search_all(np.array([1]), np.ones((1, 3)), 5, {})[1].tolist() == [0, 2]
