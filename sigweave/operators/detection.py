@@ -117,10 +117,29 @@ def _hash(text: str) -> int:
     return h
 
 
+def plain_hashes(blocks: list[list], k: int) -> frozenset:
+    """Hashes of the k-grams of blocks that nothing follows, by one step a unit."""
+    out, first, last = set(), 31**k, 31 ** (k - 1)
+    for units in blocks:
+        if len(units) >= k:
+            h = [_hash(u[0]) for u in units]
+            run = 0
+            for x in h[:k]:
+                run = run * 31 + x
+            out.add((run + first) % 2**32)
+            for old, new in zip(h, h[k:], strict=False):
+                run = (run - old * last) * 31 + new
+                out.add((run + first) % 2**32)
+    return frozenset(out)
+
+
 def load_class(record: dict, k: int) -> Class:
     """A Class from its lifted record (see sigweave.sources.signatures)."""
     methods = []
     for m in record["methods"]:
+        if not any(m["blockSuccs"].values()) and not any(u[1] or u[2] for b in m["blocks"] for u in b):  # no walks, and nothing for votes
+            methods.append(Method(m["idx"], m["name"], sum(map(len, m["blocks"])), plain_hashes(m["blocks"], k), {}, {}))
+            continue
         grams: dict[int, list] = defaultdict(list)
         for g in paths(m["blocks"], {int(b): n for b, n in m["blockSuccs"].items()}, k):
             h = 1

@@ -76,3 +76,20 @@ def test_scan_goes_on_until_a_matching_repeats(monkeypatch):
     monkeypatch.setattr(detection, "solve", other)
     found = detection.scan(classes[:1], classes, detection.Settings(), 0.1)
     assert found["classes"] == [("c0", "c149", 1.0)] and len(asked) == 151
+
+
+def test_straight_methods_are_hashed_without_walks(monkeypatch):
+    rng = np.random.default_rng(9)
+    for k in (1, 3, 5):
+        blocks = [[signatures.unit(f"wörd{x}") for x in rng.integers(0, 9, n)] for n in (0, 4, 5, 60)]
+        method = {"name": "m", "idx": 0, "blocks": blocks, "blockSuccs": {}}
+        want = set()
+        for g in detection.paths(blocks, {}, k):
+            h = 1
+            for u in g:
+                h = (h * 31 + detection._hash(u[0])) % 2**32
+            want.add(h)
+        with monkeypatch.context() as m:
+            m.setattr(detection, "paths", None)
+            own = detection.load_class({"name": "c", "methods": [method]}, k)
+        assert own.hashes == want and own.weight == 69 and own.methods[0].typed == own.methods[0].calls == {}
