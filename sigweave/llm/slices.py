@@ -98,8 +98,8 @@ def gathered(answers: DataFrame, *columns: str) -> DataFrame:
 
 
 def one_by_one(batches):
-    """The rows of batches, each opened only when its turn comes."""
+    """The rows of batches, each opened only when its turn comes; what the one before took goes back first."""
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: column[i] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
-        give_back()
+            give_back()

@@ -99,15 +99,22 @@ class Windows:
             if b in found:
                 many[a:z] = flags_of(found[b], z - a)
         start = places.windows(window, at[many[which]])
+        del at, h, which, many
         full = ngram_hashes(places.h, window)[start] if len(start) else np.zeros(0, np.uint64)
         extra = (ngram_hashes(~places.h, window)[start] >> np.uint64(32)).astype("<u4") if len(start) else np.zeros(0, "<u4")
         extra >>= np.uint32(min(31, 96 - hash_bits))
+        places.h = None  # of no use from here on
         self.ident, own = np.asarray(self.docs.column("id")), places.owner[start]
         self.repeated_ids = len(np.unique(self.ident)) < len(self.ident)
-        order = np.lexsort((start, own, self.ident[own], extra, full))
-        self.start, self.full, self.extra, self.own = start[order], full[order], extra[order], own[order]
-        self.new = np.ones(len(order), bool)
-        self.new[1:] = (np.diff(self.full) != 0) | (np.diff(self.extra) != 0)
+        rank = np.empty(len(self.ident), np.int32)
+        rank[np.argsort(self.ident, kind="stable")] = np.arange(len(rank), dtype=np.int32)
+        order = np.lexsort((rank[own], extra, full))  # starts are in order, and stay so within a text
+        self.start, self.own = start[order], own[order]
+        del start, own
+        self.full, self.extra = full[order], extra[order]
+        del full, extra, order
+        self.new = np.ones(len(self.full), bool)
+        self.new[1:] = (self.full[1:] != self.full[:-1]) | (self.extra[1:] != self.extra[:-1])
         self.first = np.flatnonzero(self.new)
         self.edges = bucket_edges(self.full[self.first], 4 * buckets)  # every place of a text may start a window, a part of them holds anchors
 
@@ -125,13 +132,13 @@ def repeated(hashes: list[np.ndarray], twice: list[np.ndarray]) -> list[np.ndarr
     return np.split(many, np.cumsum([len(h) for h in hashes])[:-1])
 
 
-def first_here(keys: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
-    """For each slice's windows (hash, rest of the hash, id, slice, row, start): whether the window's earliest start is that one."""
-    h, extra, ident, piece, row, start = (np.concatenate([k[i] for k in keys]) for i in range(6))
+def first_here(h, extra, ident, piece, row, start) -> np.ndarray:
+    """For windows (hash, rest of the hash, id, slice, row, start): whether the window's earliest start is that one."""
     order = np.lexsort((start, row, piece, ident, extra, h))
     first = np.ones(len(h), bool)
-    first[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (extra[order[1:]] != extra[order[:-1]])
-    return np.split(first, np.cumsum([len(k[0]) for k in keys])[:-1])
+    h, extra = h[order], extra[order]
+    first[order[1:]] = (h[1:] != h[:-1]) | (extra[1:] != extra[:-1])
+    return first
 
 
 def bits(flags: np.ndarray) -> bytes:
@@ -149,12 +156,15 @@ def earliest(slices: DataFrame, window: int) -> tuple[DataFrame, int, int]:
     buckets = max(12, math.ceil(size / 6 * len(cover) / v / ANCHORS_A_BUCKET))
     hash_bits = min(96, max(64, 2 * size.bit_length() + SPARE_BITS))
 
+    def anchors_of(row):
+        _, h = Places(rows_of(row["data"].as_buffer()).column("text")).anchors(window)
+        keys, n = np.unique(h, return_counts=True)
+        out = [(b, row["slice"].as_py(), press_keys(keys[a:z]), bits(n[a:z] > 1)) for b, a, z in bucket_edges(keys, buckets)]
+        return pa.RecordBatch.from_pylist([dict(zip(("bucket", "slice", "keys", "twice"), o, strict=True)) for o in out], SENT_ANCHORS)
+
     def send_anchors(batches):
         for row in one_by_one(batches):
-            _, h = Places(rows_of(row["data"].as_buffer()).column("text")).anchors(window)
-            keys, n = np.unique(h, return_counts=True)
-            out = [(b, row["slice"].as_py(), press_keys(keys[a:z]), bits(n[a:z] > 1)) for b, a, z in bucket_edges(keys, buckets)]
-            yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "slice", "keys", "twice"), o, strict=True)) for o in out], SENT_ANCHORS)
+            yield anchors_of(row)
 
     def meet_anchors(group: pa.Table) -> pa.Table:
         hashes = [unpress_keys(x) for x in group["keys"].to_pylist()]
@@ -167,23 +177,28 @@ def earliest(slices: DataFrame, window: int) -> tuple[DataFrame, int, int]:
 
     found = materialise(found, "none")
 
+    def windows_of(row):
+        w, number, out = Windows(row, window, buckets, hash_bits), row["slice"].as_py(), []
+        for b, a, z in w.edges:
+            f = w.first[a:z]
+            out.append({"bucket": b, "slice": number, "keys": press_keys(w.full[f]), "extra": press(w.extra[f]), "id": press(w.ident[w.own[f]]), "row": press(w.own[f]) if w.repeated_ids else b"", "start": press((w.start[f] - w.places.bounds[w.own[f]]).astype("<u4"))})
+        return pa.RecordBatch.from_pylist(out, SENT_WINDOWS)
+
     def send_windows(batches):
         for row in one_by_one(batches):
-            w = Windows(row, window, buckets, hash_bits)
-            if not len(w.start):
-                continue
-            number, out = row["slice"].as_py(), []
-            for b, a, z in w.edges:
-                f = w.first[a:z]
-                out.append({"bucket": b, "slice": number, "keys": press_keys(w.full[f]), "extra": press(w.extra[f]), "id": press(w.ident[w.own[f]]), "row": press(w.own[f]) if w.repeated_ids else b"", "start": press((w.start[f] - w.places.bounds[w.own[f]]).astype("<u4"))})
-            yield pa.RecordBatch.from_pylist(out, SENT_WINDOWS)
+            yield windows_of(row)
 
     def meet_windows(group: pa.Table) -> pa.Table:
-        keys = []
-        for r in group.to_pylist():
-            h = unpress_keys(r["keys"])
-            keys.append((h, unpress(r["extra"], "<u4"), unpress(r["id"], np.int64), np.full(len(h), r["slice"]), unpress(r["row"], np.int32) if r["row"] else np.zeros(len(h), np.int32), unpress(r["start"], "<u4")))
-        return pa.table({"slice": group["slice"], "bucket": group["bucket"], "flags": pa.array([bits(f) for f in first_here(keys)], pa.binary())})
+        def every(name, kind):
+            return np.concatenate([unpress(x, kind) for x in group[name].to_pylist()])
+
+        h = [unpress_keys(x) for x in group["keys"].to_pylist()]
+        sizes = [len(x) for x in h]
+        h = np.concatenate(h)
+        piece = np.repeat(np.unique(np.asarray(group["slice"]), return_inverse=True)[1].astype(np.int32), sizes)
+        row = np.concatenate([unpress(x, np.int32) if x else np.zeros(n, np.int32) for x, n in zip(group["row"].to_pylist(), sizes, strict=True)])
+        first = first_here(h, every("extra", "<u4"), every("id", np.int64), piece, row, every("start", "<u4"))
+        return pa.table({"slice": group["slice"], "bucket": group["bucket"], "flags": pa.array([bits(f) for f in np.split(first, np.cumsum(sizes)[:-1])], pa.binary())})
 
     held = slices.select("slice", "data").join(gathered(found, "flags"), "slice").withColumnRenamed("answers", "anchors")
     windows = held.mapInArrow(send_windows, "bucket int, slice long, keys binary, extra binary, id binary, row binary, start binary")
@@ -201,24 +216,28 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     answers, buckets, hash_bits = earliest(slices, window)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
+    def stripped(row):
+        if row["answers"].is_valid:
+            w = Windows(row, window, buckets, hash_bits)
+            own, codes, bounds, words = w.docs, w.places.codes, w.places.bounds, w.places.words
+            start, n = w.later(row["answers"].as_py()), len(codes) + 1
+            del w
+            stays = np.cumsum(np.bincount(start, minlength=n) - np.bincount(start + window, minlength=n))[:-1] == 0
+        else:
+            own = rows_of(row["data"].as_buffer())
+            codes, bounds, words = split_words(own.column("text"), lower=False)
+            stays = np.ones(len(codes), bool)
+        left = np.concatenate([[0], np.cumsum(stays)])[bounds]
+        removed = np.diff(bounds) - np.diff(left)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), words.take(pa.array(codes[stays]))), " ")
+        if as_is:
+            texts = pc.if_else(pa.array(removed == 0), own.column("text"), texts)
+        columns = own.column("keep").flatten()[: len(keep)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(removed), texts], names=[f.name for f in schema])
+
     def drop(batches):
         for row in one_by_one(batches):
-            if row["answers"].is_valid:
-                w = Windows(row, window, buckets, hash_bits)
-                own, codes, bounds, words = w.docs, w.places.codes, w.places.bounds, w.places.words
-                start, n = w.later(row["answers"].as_py()), len(codes) + 1
-                stays = np.cumsum(np.bincount(start, minlength=n) - np.bincount(start + window, minlength=n))[:-1] == 0
-            else:
-                own = rows_of(row["data"].as_buffer())
-                codes, bounds, words = split_words(own.column("text"), lower=False)
-                stays = np.ones(len(codes), bool)
-            left = np.concatenate([[0], np.cumsum(stays)])[bounds]
-            removed = np.diff(bounds) - np.diff(left)
-            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), words.take(pa.array(codes[stays]))), " ")
-            if as_is:
-                texts = pc.if_else(pa.array(removed == 0), own.column("text"), texts)
-            columns = own.column("keep").flatten()[: len(keep)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(removed), texts], names=[f.name for f in schema])
+            yield stripped(row)
 
     return slices.select("slice", "data").join(answers, "slice", "left").select("data", "anchors", "answers").mapInArrow(drop, schema)
 
