@@ -3,8 +3,9 @@
 A record is a class: (artifact, cls, lib_super, app_super, interfaces, methods), a method (idx, name, blocks' units with
 their references, k-gram hashes). Records are opened once, into their k-gram hashes and what votes need. Classes of a
 library and an application meet in one task per pair, and only for pairs that the sketches suggest; the task iterates class
-matching and weighted voting to its fixpoint, over class pairs that share a k-gram or a vote. Everything between scans
-is DataFrame code.
+matching and weighted voting to its fixpoint, over class pairs that share a k-gram or a vote. Of an application it gets the
+classes that can be matched with the library's: others keep their bits in the application's sketch, but leave it in no round.
+Everything between scans is DataFrame code.
 """
 
 from __future__ import annotations
@@ -12,20 +13,28 @@ from __future__ import annotations
 import itertools
 import json
 import pickle
+import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigweave.functions import arrays
+from sigweave.sources.signatures import unit
+from sigweave.sources.storage import release
+
 from .assignment import solve
 from .selection import DETECTION_THRESHOLD, SCAN_RANGE, SKETCH_THRESHOLD, detection_threshold, resolve, scan_window, sketch_filter
-from .sketches import ARTIFACT_PRIME, containment
+from .sketches import ARTIFACT_PRIME, FEW, bit, containment
 
 PARTS = 32  # rounds whose results are put together at once
+RANGE = 18  # a row of bits has 2**RANGE of a sketch's
+HELD = 1 << 22  # bits that a task gathers before it lets them go
 
 
 @dataclass(frozen=True)
@@ -267,15 +276,120 @@ def scan(library: list[Class], app: list[Class], s: Settings, threshold: float)
         matrix = np.where(initial == 1, np.maximum(matrix, 1e-6), matrix)
 
 
-def opened(classes: DataFrame, k: int) -> DataFrame:
-    """(artifact, cls, weight, hashes, body): class records (artifact, cls, record as JSON) with their distinct k-gram hashes, and all that a scan needs of them as bytes."""
+def opened(classes: DataFrame, k: int, named: bool = False) -> DataFrame:
+    """(artifact, cls, weight, hashes, body): class records (artifact, cls, record as JSON) with their distinct k-gram hashes, and all that a scan needs of them as bytes.
+    With named, also the names that votes of the class may be for."""
+
+    def names(record: dict) -> list[str]:
+        refs = {t for m in record["methods"] for b in m["blocks"] for u in b for t in u[1]}
+        return sorted({*refs, record.get("superType"), *(record.get("interfaces") or [])} - {None})
 
     def run(frames):
         for pdf in frames:
-            own = [load_class(json.loads(r), k) for r in pdf["record"]]
-            yield pd.DataFrame({"artifact": pdf["artifact"], "cls": pdf["cls"], "weight": [c.weight for c in own], "hashes": [sorted(c.hashes) for c in own], "body": [pickle.dumps(c) for c in own]})
+            records = [json.loads(r) for r in pdf["record"]]
+            own = [load_class(r, k) for r in records]
+            out = {"artifact": pdf["artifact"], "cls": pdf["cls"], "weight": [c.weight for c in own], "hashes": [sorted(c.hashes) for c in own], "body": [pickle.dumps(c) for c in own]}
+            yield pd.DataFrame(out | ({"named": [names(r) for r in records]} if named else {}))
+
+    return classes.select("artifact", "cls", "record").mapInPandas(run, "artifact string, cls string, weight long, hashes array<long>, body binary" + ", named array<string>" * named)
+
+
+def packed_bits(places: np.ndarray) -> bytes:
+    """Distinct places below 2**RANGE as bytes: numbers if they are few, else a bitmap."""
+    if len(places) <= 1024:
+        return b"n" + zlib.compress(places.astype(np.uint32).tobytes(), 1)
+    out = np.zeros(1 << RANGE, bool)
+    out[places] = True
+    return b"b" + zlib.compress(np.packbits(out).tobytes(), 1)
+
+
+def unpacked_bits(rows: list[bytes]) -> np.ndarray:
+    """Which places any of the rows of packed_bits() has."""
+    out = np.zeros(1 << RANGE, bool)
+    for x in rows:
+        raw = zlib.decompress(x[1:])
+        if x[:1] == b"n":
+            out[np.frombuffer(raw, np.uint32)] = True
+        else:
+            out |= np.unpackbits(np.frombuffer(raw, np.uint8)).view(bool)
+    return out
+
 
-    return classes.select("artifact", "cls", "record").mapInPandas(run, "artifact string, cls string, weight long, hashes array<long>, body binary")
+def opened_lines(texts: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
+    """Texts (artifact, cls, text) whose lines are classes `cls:number` of one method of one block, words its units: the lines with
+    a hash of `wanted` as opened() has them, and of all others only the sketch, as rows (artifact, part, bits)."""
+    schema = pa.schema([("artifact", pa.string()), ("cls", pa.string()), ("weight", pa.int64()), ("hashes", pa.list_(pa.int64())), ("body", pa.binary()), ("named", pa.list_(pa.string())), ("part", pa.int32()), ("bits", pa.binary())])
+    wanted = np.unique(wanted).astype(np.uint64)
+    mask = np.uint64((1 << 20) - 1)
+
+    def sketch(names: list[str], gathered: list[np.ndarray]):
+        if not gathered:
+            return
+        all_ = np.unique(np.concatenate(gathered))
+        owner, place = np.divmod(all_, ARTIFACT_PRIME)
+        key = (owner << 8) + (place >> RANGE)
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        rows = [{"artifact": names[owner[i]], "part": int(place[i] >> RANGE), "bits": packed_bits(place[i:j] & ((1 << RANGE) - 1))} for i, j in zip(starts, [*starts[1:], len(key)], strict=True)]
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+    def run(batches):
+        known = np.zeros(1 << 20, bool)
+        known[wanted & mask] = True
+        numbers, gathered, n = {}, [], 0
+        for whole in batches:
+            for batch in arrays.text_slices(whole):
+                of, names = batch.column("artifact").to_pylist(), batch.column("cls").to_pylist()
+                words, sizes, where = [], [], []
+                for row, text in enumerate(batch.column("text").to_pylist()):
+                    for i, line in enumerate(text.split("\n") if text is not None else ()):
+                        own = line.split()
+                        if len(own) >= k:
+                            words += own
+                            sizes.append(len(own))
+                            where.append((row, i))
+                if not words:
+                    continue
+                coded = pa.array(words, pa.string()).dictionary_encode()
+                bounds = np.concatenate([[0], np.cumsum(sizes)])
+                at = arrays.run_starts(bounds, k)
+                h = arrays.sequences(arrays.polynomials(coded.dictionary)[np.asarray(coded.indices)], k)[at]
+                line = np.searchsorted(bounds, at, side="right") - 1
+                maybe = np.flatnonzero(known[h & mask])
+                met = np.zeros(len(sizes), bool)
+                met[line[maybe[np.isin(h[maybe], wanted)]]] = True
+                rows = []
+                for x in np.flatnonzero(met):
+                    row, i = where[x]
+                    method = {"name": "line", "idx": 0, "blocks": [[unit(w) for w in words[bounds[x] : bounds[x + 1]]]], "blockSuccs": {}}
+                    c = load_class({"name": f"{names[row]}:{i}", "methods": [method]}, k)
+                    rows.append({"artifact": str(of[row]), "cls": c.name, "weight": c.weight, "hashes": sorted(c.hashes), "body": pickle.dumps(c), "named": []})
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                owner = np.array([numbers.setdefault(str(of[row]), len(numbers)) for row, _ in where], np.int64)
+                rest = ~met[line]
+                gathered.append(np.unique(owner[line[rest]] * ARTIFACT_PRIME + (h[rest] % np.uint64(ARTIFACT_PRIME)).astype(np.int64)))
+                n += len(gathered[-1])
+                if n >= HELD:
+                    yield from sketch([*numbers], gathered)
+                    numbers, gathered, n = {}, [], 0
+        yield from sketch([*numbers], gathered)
+
+    kinds = "artifact string, cls string, weight long, hashes array<long>, body binary, named array<string>, part int, bits binary"
+    return texts.select("artifact", "cls", "text").mapInArrow(run, kinds)
+
+
+def sketched(classes: DataFrame, bits: DataFrame) -> DataFrame:
+    """(app, cls, bit, n): the bits of classes (app, cls, bit) that rows (artifact, part, bits) of their application don't have; and without cls and bit, how many those have, a part at a time."""
+    schema = pa.schema([("app", pa.string()), ("cls", pa.string()), ("bit", pa.int32()), ("n", pa.int64())])
+
+    def one(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        held = unpacked_bits(right.column("bits").to_pylist())
+        own = left.filter(pa.array(~held[np.asarray(left.column("bit")) & ((1 << RANGE) - 1)])) if left.num_rows else left
+        n = own.num_rows
+        return pa.table([pa.array([key[0].as_py()] * (n + 1), pa.string()), pa.array([*own.column("cls").to_pylist(), None], pa.string()), pa.array([*own.column("bit").to_pylist(), None], pa.int32()), pa.array([None] * n + [int(held.sum())], pa.int64())], schema=schema)
+
+    parts = classes.withColumn("part", F.shiftright("bit", RANGE)).groupBy("app", "part")
+    return parts.cogroup(bits.select(F.col("artifact").alias("app"), "part", "bits").groupBy("app", "part")).applyInArrow(one, "app string, cls string, bit int, n long")
 
 
 def class_hashes(classes: DataFrame, k: int) -> DataFrame:
@@ -283,33 +397,67 @@ def class_hashes(classes: DataFrame, k: int) -> DataFrame:
     return opened(classes, k).select("artifact", "cls", F.explode("hashes").alias("h"))
 
 
-def detect(libraries: DataFrame, apps: DataFrame, settings: Settings = Settings(), keep=lambda df: df, opened_libraries: DataFrame | None = None) -> DataFrame:
+def detect(libraries: DataFrame, apps: DataFrame, settings: Settings = Settings(), keep=lambda df: df, opened_libraries: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """(app, library, match, cover, accepted, round, classes) of all rounds; both inputs are class records (artifact, cls, record).
 
     `keep` fixes a round's rows (a table written or cached), so that later rounds don't compute them again. A round
     scans what the sketches suggest, accepts in order of (match, cover), takes accepted classes out of the applications,
     and drops library candidates whose scan failed; it ends when no candidate is left. Each round drops a candidate or takes
     classes away in each application that it scans. There can be as many rounds as copies of a library in an application, so
-    that `keep` should cut the plan, too. opened_libraries: the libraries as opened() gives them, if they are kept somewhere.
+    that `keep` should cut the plan, too. The applications are written once: a round keeps only what it takes away, and what
+    it doesn't need any more is released. opened_libraries: the libraries as opened() gives them, if they are kept somewhere.
+    lines: texts (artifact, cls, text), if the classes of apps are just their lines; of those that share nothing with a
+    library only the sketch is then written.
     """
     s = settings
-    lib_rows, left = keep(opened(libraries, s.k)) if opened_libraries is None else opened_libraries, keep(opened(apps, s.k))
+    lib_rows = keep(opened(libraries, s.k)) if opened_libraries is None else opened_libraries
     lib_sets = keep(lib_rows.select(F.col("artifact").alias("library"), F.explode("hashes").alias("h")).distinct())
     sizes = lib_rows.groupBy(F.col("artifact").alias("library")).agg(F.sum("weight").alias("size"))
     thresholds = keep(sizes.select("library", detection_threshold(F.col("size"), s.detection_formula).alias("threshold")))
-    alive, parts = None, []
+    keys = lib_sets.select("h").distinct()
+    few = keys.limit(FEW + 1).count() <= FEW
+    bits = None
+    if lines is not None and few:
+        written = keep(opened_lines(lines, s.k, np.array([r.h for r in keys.collect()], np.int64)))
+        rows, bits = written.where("body IS NOT NULL"), written.where("bits IS NOT NULL")
+    else:
+        written = rows = keep(opened(apps, s.k, named=True))
+    left = rows.select(F.col("artifact").alias("app"), "cls", "body")
+    hashed = rows.select(F.col("artifact").alias("app"), "cls", F.explode("hashes").alias("h"))
+    shared = keep(hashed.join(F.broadcast(keys) if few else keys, "h", "left_semi").select("app", "cls", "h"))
+    votable = rows.select(F.col("artifact").alias("app"), F.explode("named").alias("cls")).distinct()
+    named = keep(votable.join(left.select("app", "cls"), ["app", "cls"], "left_semi"))
+    # only classes that share a hash with a library, or that a vote may be for, are ever matched; the others' bits stay
+    placed = hashed.select("app", "cls", bit(F.col("h"), ARTIFACT_PRIME).alias("bit"))
+    if bits is not None:
+        both = keep(sketched(placed.distinct(), bits))
+        own, stays = both.where("cls IS NOT NULL").select("app", "cls", "bit"), both.groupBy("app").agg(F.sum("n").alias("stays"))
+    else:
+        matchable = keep(shared.select("app", "cls").union(named).distinct())
+        both = keep(placed.join(matchable, ["app", "cls"], "left_anti").select("app", "bit").distinct())
+        own = keep(placed.join(matchable, ["app", "cls"], "left_semi").distinct().join(both, ["app", "bit"], "left_anti").select("app", "cls", "bit"))
+        stays = both.groupBy("app").agg(F.count("*").alias("stays"))
+        release(matchable)
+    stays = keep(stays)
+    lib_classes = keep(lib_rows.select(F.col("artifact").alias("library"), F.col("cls").alias("l"), F.size("hashes").alias("of"), F.explode("hashes").alias("h")))
+    gone, alive, parts = None, None, []
+    now = lambda df: df if gone is None else df.join(gone, ["app", "cls"], "left_anti")
     for number in itertools.count(1):
-        current = left.select(F.col("artifact").alias("app"), F.explode("hashes").alias("h")).distinct()
-        pops = current.groupBy("app").agg((F.count_distinct(F.pmod("h", F.lit(ARTIFACT_PRIME))) / F.lit(float(ARTIFACT_PRIME))).alias("pop"))
-        scores = containment(lib_sets, current, "library", "app", fixed=True).join(pops, "app")
+        current = now(shared)
+        moves = now(own).groupBy("app").agg(F.count_distinct("bit").alias("moves"))
+        scores = containment(lib_sets, current.select("app", "h"), "library", "app", fixed=True, few=-1)  # current is without what the libraries lack
+        pop = (F.coalesce("stays", F.lit(0)) + F.coalesce("moves", F.lit(0))) / F.lit(float(ARTIFACT_PRIME))
+        scores = scores.join(stays, "app", "left").join(moves, "app", "left").withColumn("pop", pop)
         if alive is not None:
             scores = scores.join(alive, ["app", "library"], "left_semi")
         passed = keep(sketch_filter(scores, F.col("pop"), formula=s.sketch_formula))  # what fails here once is out for good
         chosen = keep(scan_window(passed, within=["app"], width=s.scan_range).select("app", "library"))
         if chosen.isEmpty():
             break
+        met = chosen.join(lib_classes, "library").join(current, ["app", "h"]).groupBy("app", "library", "l", "of", "cls").agg(F.count("*").alias("n"))
+        asked = met.where(F.col("n") / F.col("of") > s.sketch_similarity).select("app", "library", "cls").union(chosen.join(named, "app").select("app", "library", "cls")).distinct()
         lib_side = chosen.join(lib_rows.select(F.col("artifact").alias("library"), "body"), "library").join(thresholds, "library").select("app", "library", F.lit("l").alias("side"), "threshold", "body")
-        app_side = chosen.join(left.select(F.col("artifact").alias("app"), "body"), "app").select("app", "library", F.lit("a").alias("side"), F.lit(0.0).alias("threshold"), "body")
+        app_side = asked.join(now(left), ["app", "cls"]).select("app", "library", F.lit("a").alias("side"), F.lit(0.0).alias("threshold"), "body")
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             sides = {v: sorted((pickle.loads(b) for b in pdf.loc[pdf["side"] == v, "body"]), key=lambda c: c.name) for v in "la"}
@@ -321,14 +469,18 @@ def detect(libraries: DataFrame, apps: DataFrame, settings: Settings = Settings(
         results = scanned.where("match IS NOT NULL")
         members = results.select("app", "library", F.explode("classes").alias("member"))
         resolved = keep(resolve(results, members, key="library", order=[F.desc("match"), F.desc("cover"), F.asc("library")], within=["app"]).withColumn("round", F.lit(number)))
-        parts.append(resolved)
-        if len(parts) == PARTS:
-            parts = [keep(reduce(DataFrame.unionByName, parts))]
-        gone = resolved.where("accepted").select(F.col("app").alias("artifact"), F.explode("classes").alias("cls")).distinct()
-        left = keep(left.join(gone, ["artifact", "cls"], "left_anti"))
+        taken = resolved.where("accepted").select("app", F.explode("classes").alias("cls")).distinct()
         # a result without classes takes none away and would be scanned forever; one that lost a conflict is scanned again on what is left
         failed = scanned.where("match IS NULL OR size(classes) = 0").select("app", "library")
-        alive = keep(passed.select("app", "library").join(failed, ["app", "library"], "left_anti"))
+        before = gone, alive
+        gone, alive = keep(taken if gone is None else gone.unionByName(taken)), keep(passed.select("app", "library").join(failed, ["app", "library"], "left_anti"))
+        release(passed, chosen, scanned, *before)
+        parts.append(resolved)
+        if len(parts) == PARTS:
+            whole = keep(reduce(DataFrame.unionByName, parts))
+            release(*parts)
+            parts = [whole]
+    release(written, lib_sets, thresholds, shared, named, both, own, stays, lib_classes, passed, chosen, gone, alive)
     if not parts:
         empty = "app string, library string, match double, cover double, classes array<string>, accepted boolean, round int"
         return libraries.sparkSession.createDataFrame([], empty)
