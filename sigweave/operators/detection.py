@@ -10,6 +10,7 @@ Everything between scans is DataFrame code.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import json
 import pickle
@@ -30,7 +31,7 @@ from sigweave.sources.storage import release
 
 from .assignment import solve
 from .selection import DETECTION_THRESHOLD, SCAN_RANGE, SKETCH_THRESHOLD, detection_threshold, resolve, scan_window, sketch_filter
-from .sketches import ARTIFACT_PRIME, FEW, bit, containment
+from .sketches import ARTIFACT_PRIME, FEW, bit
 
 PARTS = 32  # rounds whose results are put together at once
 RANGE = 18  # a row of bits has 2**RANGE of a sketch's
@@ -439,15 +440,17 @@ def detect(libraries: DataFrame, apps: DataFrame, settings: Settings = Settings(
         stays = both.groupBy("app").agg(F.count("*").alias("stays"))
         release(matchable)
     stays = keep(stays)
+    of_libraries = keep(lib_sets.join(lib_sets.groupBy("library").agg(F.count("*").alias("size")), "library"))
+    voted = not named.isEmpty()
     lib_classes = keep(lib_rows.select(F.col("artifact").alias("library"), F.col("cls").alias("l"), F.size("hashes").alias("of"), F.explode("hashes").alias("h")))
     gone, alive, parts = None, None, []
     now = lambda df: df if gone is None else df.join(gone, ["app", "cls"], "left_anti")
     for number in itertools.count(1):
         current = now(shared)
         moves = now(own).groupBy("app").agg(F.count_distinct("bit").alias("moves"))
-        scores = containment(lib_sets, current.select("app", "h"), "library", "app", fixed=True, few=-1)  # current is without what the libraries lack
-        pop = (F.coalesce("stays", F.lit(0)) + F.coalesce("moves", F.lit(0))) / F.lit(float(ARTIFACT_PRIME))
-        scores = scores.join(stays, "app", "left").join(moves, "app", "left").withColumn("pop", pop)
+        pops = stays.union(moves).groupBy("app").agg((F.sum("stays") / F.lit(float(ARTIFACT_PRIME))).alias("pop"))
+        both_have = of_libraries.join(current.select("app", "h").distinct(), "h").groupBy("library", "app", "size").agg(F.count("*").alias("shared"))
+        scores = both_have.withColumn("score", F.col("shared") / F.col("size")).join(pops, "app")
         if alive is not None:
             scores = scores.join(alive, ["app", "library"], "left_semi")
         passed = keep(sketch_filter(scores, F.col("pop"), formula=s.sketch_formula))  # what fails here once is out for good
@@ -455,9 +458,11 @@ def detect(libraries: DataFrame, apps: DataFrame, settings: Settings = Settings(
         if chosen.isEmpty():
             break
         met = chosen.join(lib_classes, "library").join(current, ["app", "h"]).groupBy("app", "library", "l", "of", "cls").agg(F.count("*").alias("n"))
-        asked = met.where(F.col("n") / F.col("of") > s.sketch_similarity).select("app", "library", "cls").union(chosen.join(named, "app").select("app", "library", "cls")).distinct()
+        asked = met.where(F.col("n") / F.col("of") > s.sketch_similarity).select("app", "library", "cls")
+        if voted:
+            asked = asked.union(chosen.join(now(named), "app").select("app", "library", "cls"))
         lib_side = chosen.join(lib_rows.select(F.col("artifact").alias("library"), "body"), "library").join(thresholds, "library").select("app", "library", F.lit("l").alias("side"), "threshold", "body")
-        app_side = asked.join(now(left), ["app", "cls"]).select("app", "library", F.lit("a").alias("side"), F.lit(0.0).alias("threshold"), "body")
+        app_side = asked.distinct().join(left, ["app", "cls"]).select("app", "library", F.lit("a").alias("side"), F.lit(0.0).alias("threshold"), "body")
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             sides = {v: sorted((pickle.loads(b) for b in pdf.loc[pdf["side"] == v, "body"]), key=lambda c: c.name) for v in "la"}
@@ -480,7 +485,9 @@ def detect(libraries: DataFrame, apps: DataFrame, settings: Settings = Settings(
             whole = keep(reduce(DataFrame.unionByName, parts))
             release(*parts)
             parts = [whole]
-    release(written, lib_sets, thresholds, shared, named, both, own, stays, lib_classes, passed, chosen, gone, alive)
+        gc.collect()  # broadcasts and shuffle files of past rounds stay until the driver collects its garbage
+        libraries.sparkSession._jvm.System.gc()
+    release(written, lib_sets, thresholds, shared, named, both, own, stays, of_libraries, lib_classes, passed, chosen, gone, alive)
     if not parts:
         empty = "app string, library string, match double, cover double, classes array<string>, accepted boolean, round int"
         return libraries.sparkSession.createDataFrame([], empty)
